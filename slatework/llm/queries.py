@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slatework.llm import survivors
+from slatework.llm import leakage, survivors
 from slatework.session import table
 
 
@@ -20,7 +20,18 @@ def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.source_reliability(table(spark, sf_dir, "source_row"), table(spark, sf_dir, "team_code"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_golden": p2_golden, "p2_reliability": p2_reliability}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_golden": p2_golden, "p2_reliability": p2_reliability,
+    "p6_found": p6_found, "p6_report": p6_report,
+}
 
 SQL = {
     "p2_found": """
@@ -41,5 +52,16 @@ SELECT listing_id,
        coalesce(max(CASE WHEN pn = 1 THEN row_id END), -1) AS pos_row_id,
        coalesce(max(CASE WHEN an = 1 THEN row_id END), -1) AS age_row_id
 FROM o GROUP BY listing_id HAVING count(*) >= 2
+""",
+    "p6_found": r"""
+WITH t AS (
+  SELECT doc_id AS id, 0 AS kind, text FROM documents UNION ALL SELECT item_id, 1, text FROM eval_item),
+clean AS (
+  SELECT id, kind, strip_accents(lower(text)) AS t FROM t),
+w AS (SELECT id, kind, regexp_extract_all(translate(replace(t, 'ß', 'ss'), 'øł', 'ol'), '[\p{L}\p{N}]+') AS w FROM clean),
+g AS (
+  SELECT id, kind, array_to_string(w[i : i + 9], ' ') AS g
+  FROM (SELECT id, kind, w, unnest(range(1, len(w) - 8)) AS i FROM w WHERE len(w) >= 10))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g AND d.kind = 0 AND i.kind = 1
 """,
 }
