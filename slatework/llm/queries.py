@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slatework.llm import leakage, survivors
+from slatework.llm import leakage, lookalike, mojibake, survivors
 from slatework.session import table
 
 
@@ -20,6 +21,37 @@ def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.source_reliability(table(spark, sf_dir, "source_row"), table(spark, sf_dir, "team_code"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mojibake.label_names(table(spark, sf_dir, "source_row"), "row_id")
+    return labelled.where(F.col("damage.pair").isNotNull()).select("row_id")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged names with their original spelling where nothing was lost."""
+    labelled = mojibake.label_names(table(spark, sf_dir, "source_row"), "row_id").where(F.col("damage.pair").isNotNull())
+    return labelled.select("row_id", "name", F.col("damage.pair").alias("pair"), F.when(F.col("damage.complete"), F.col("damage.restored")).alias("original"))
+
+
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tbl, id, value, damaged`` of both columns with names; both are judged by the model of the rows' names."""
+    rows = table(spark, sf_dir, "source_row").select(F.lit("source_row").alias("tbl"), F.col("row_id").alias("id"), F.col("name").alias("value"))
+    seen = table(spark, sf_dir, "aliases").select(F.lit("aliases").alias("tbl"), F.col("alias_id").alias("id"), F.col("c0").alias("value"))
+    both = rows.unionByName(seen).withColumn("key", F.struct("tbl", "id"))
+    labelled = mojibake.label_names(both, "key", "value", mojibake.fit(rows, "value"))
+    return labelled.select("key.tbl", "key.id", "value", F.col("damage.pair").isNotNull().alias("damaged"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound = _spellings(spark, sf_dir).where("not damaged")
+    return lookalike.odd_spellings(sound, ["tbl", "id"], "value").select("tbl", "id")
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct name and alias beside its one consistent form."""
+    rows = table(spark, sf_dir, "source_row").select(F.col("name").alias("value"))
+    return lookalike.canonical_forms(rows.union(table(spark, sf_dir, "aliases").select("c0")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -30,6 +62,8 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_golden": p2_golden, "p2_reliability": p2_reliability,
+    "p3_found": p3_found, "p3_restored": p3_restored,
+    "p4_found": p4_found, "p4_forms": p4_forms,
     "p6_found": p6_found, "p6_report": p6_report,
 }
 
