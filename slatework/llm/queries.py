@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import leakage, lookalike, mojibake, survivors
+from slatework.llm import leakage, lookalike, mojibake, residue, survivors
 from slatework.session import table
 
 
@@ -60,11 +60,22 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without residue."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(residue.find_residue(docs), "doc_id", "left_anti")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_golden": p2_golden, "p2_reliability": p2_reliability,
     "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_forms": p4_forms,
     "p6_found": p6_found, "p6_report": p6_report,
+    "p8_found": p8_found, "p8_clean": p8_clean,
 }
 
 SQL = {
