@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import leakage, lookalike, mojibake, residue, survivors
+from slatework.llm import leakage, linkage, lookalike, mojibake, residue, survivors
 from slatework.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_matches(spark, sf_dir).select("listing_id_a", "listing_id_b")
+
+
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with their confidence."""
+    return linkage.match(table(spark, sf_dir, "source_row"), table(spark, sf_dir, "team_code"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.latest_survivors(table(spark, sf_dir, "source_row"), table(spark, sf_dir, "team_code"))
 
@@ -71,6 +80,7 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_matches": p1_matches,
     "p2_found": p2_found, "p2_golden": p2_golden, "p2_reliability": p2_reliability,
     "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_forms": p4_forms,
