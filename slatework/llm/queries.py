@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import leakage, linkage, lookalike, mojibake, residue, survivors
+from slatework.llm import leakage, linkage, lookalike, mixture, mojibake, residue, survivors
 from slatework.session import table
 
 
@@ -69,6 +69,14 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -85,6 +93,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_forms": p4_forms,
     "p6_found": p6_found, "p6_report": p6_report,
+    "p7_mix": p7_mix, "p7_report": p7_report,
     "p8_found": p8_found, "p8_clean": p8_clean,
 }
 
