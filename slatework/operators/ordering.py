@@ -59,3 +59,48 @@ def previous_row(df: DataFrame, group: list[str], order: list[Column], prev: str
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_before.{g}"))
     return lagged.withColumn(prev, F.when(F.col("_before").isNotNull() & same, F.col("_before"))).select(*cols, prev)
+
+
+def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column] | None = None, last_before: dict[str, Column] | None = None) -> DataFrame:
+    """Running aggregates per group in order, without putting a group into one task.
+
+    ``sums``: name -> column, its sum over the group's rows up to and including this one (nulls count
+    as 0). ``last_before``: name -> column, its last value that is not null among the rows before
+    this one. ``order`` must break all ties for a reproducible result.
+    """
+    sums, last_before = sums or {}, last_before or {}
+    cols = df.columns
+    src = df.select("*", *[F.coalesce(c, F.lit(0)).alias(f"_s_{k}") for k, c in sums.items()], *[c.alias(f"_l_{k}") for k, c in last_before.items()])
+    parts = range_sorted(src, [F.col(g).asc_nulls_first() for g in group] + order)
+    inner = Window.partitionBy("_pid", *group).orderBy("_seq")
+    upto, before = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(Window.unboundedPreceding, -1)
+    within = parts.select("*", *[F.sum(f"_s_{k}").over(upto).alias(f"_in_{k}") for k in sums], *[F.last(f"_l_{k}", ignorenulls=True).over(before).alias(f"_in_{k}") for k in last_before])
+    ends = [F.sum(f"_s_{k}").alias(f"_e_{k}") for k in sums]
+    ends += [F.max_by(f"_l_{k}", F.when(F.col(f"_l_{k}").isNotNull(), F.col("_seq"))).alias(f"_e_{k}") for k in last_before]
+    edges = parts.groupBy("_pid", *group).agg(*ends)
+    outer = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = edges.select(
+        F.col("_pid").alias("_cp"), *[F.col(g).alias(f"_cg_{g}") for g in group],
+        *[F.sum(f"_e_{k}").over(outer).alias(f"_c_{k}") for k in sums], *[F.last(f"_e_{k}", ignorenulls=True).over(outer).alias(f"_c_{k}") for k in last_before],
+    )
+    on = F.col("_pid") == F.col("_cp")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_cg_{g}"))
+    out = within.join(carry, on, "left")
+    return out.select(*cols, *[(F.col(f"_in_{k}") + F.coalesce(f"_c_{k}", F.lit(0))).alias(k) for k in sums], *[F.coalesce(f"_in_{k}", f"_c_{k}").alias(k) for k in last_before])
+
+
+def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """``row_number`` within ``group``, spread over tasks by the full ordering."""
+    return running(df, group, order, sums={name: F.lit(1).cast("long")})
+
+
+def nth_smallest(df: DataFrame, group: list[str], value: str, at: Column, name: str) -> DataFrame:
+    """One row per group: the value at the 0-based sorted position ``at``, an expression over ``n`` (the group's rows)."""
+    ranked = rank_within(df.select(*group, value).where(F.col(value).isNotNull()), group, [F.col(value).asc()], "_rn")
+    size = ranked.groupBy(*group).agg(F.max("_rn").alias("n"))
+    on = F.lit(True)
+    sized = size.select(*[F.col(g).alias(f"_g_{g}") for g in group], (at + 1).cast("long").alias("_at"))
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return ranked.join(sized, on).where(F.col("_rn") == F.col("_at")).select(*group, F.col(value).alias(name))
