@@ -12,6 +12,7 @@ ever pairing unlabelled segments with each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,18 @@ from slatework.llm.leakage import gram_hashes, word_hashes
 from slatework.session import cut, spread
 
 SHINGLE, SIMILAR = 5, 0.8
+
+
+def _any(patterns: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(patterns) + ")"
+
+
 #: Bits are split into TABLES bands; a pair within RADIUS = TABLES - 1 bits agrees on at least one band.
 TABLES, RADIUS = 6, 5
 
 # Words of the usual filler Latin.
 LATIN_FILLER = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua aliquet commodo congue curae "
+    "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua aliquet commodo congue curae "
     "egestas fermentum lacinia mattis molestie nullam porta pulvinar rutrum sagittis semper tincidunt ultrices varius vestibulum viverra"
 ).split()
 # Syntaxes of unfilled places. Case counts, but for the words in (?i:).
@@ -40,7 +47,7 @@ PLACES = (
 )
 #: A place that is the subject of the sentence, not a gap in it.
 MENTION = r"(?i)\b(?:field|variable|tag|token|macro|template)\b[^.!?\n]{0,60}\bcalled\s+[\"'`“]?(?:\{\{[^{}\n]{1,60}\}\}|[$#]?\{\w+\}|\[\[\w+\]\]|%\w+%|<\w+>)"
-# Notices, whatever the case.
+# Notices, in lower case.
 ERRORS = (
     r"\b[45][0-9][0-9] (?:not found|forbidden|unauthorized|bad (?:request|gateway)|internal server error|service unavailable|gateway time-?out)\b",
     r"\b(?:error|erreur|fehler|felkod)\s*:?\s*[45][0-9][0-9]\b", r"\baccess denied\b", r"\ban administrator has been notified\b", r"\bchecking that the connection is secure\b",
@@ -61,24 +68,42 @@ FILLER = (
 )
 
 
-def _any(patterns: tuple[str, ...], fold: bool) -> str:
-    return ("(?iu)" if fold else "") + "(?:" + "|".join(patterns) + ")"
+NOTICES = _any(ERRORS + SCRIPTS + FILLER)
+SPLIT = r"(?<=[.!?])\s+|\n+"
+# Every place, and every notice, holds one of these; a plain search for them spares most texts the patterns.
+PLACE_SIGNS = ("{", "%", "<", "$", "~", "@@", "__", "*|", "[", "tbd)", "tk tk", "firstname", "undefined", "nan")
+NOTICE_SIGNS = (
+    *LATIN_FILLER, "not found", "forbidden", "unauthorized", "bad request", "gateway", "server error", "service unavailable", "error", "erreur", "fehler", "felkod", "access denied", "administrator",
+    "connection is secure", "connection failed", "log in again", "introuvable", "nicht gefunden", "inte hittas", "please try again", "request id", "accueil", "temporarily unavailable", "slow down", "went wrong",
+    "looking for could", "moved or deleted", "too many requests", "traceback", "render aborted", "have permission", "has expired", "script", "skript", "supported browser", "asdf", "xx", "body copy", "dummy text",
+    "kommer texten", "placeholder", "replace it with", "platzhalter", "goes here", "content here", "texte à venir", "todo: ", "to three sentences",
+)
 
 
-NOTICES = _any(ERRORS + SCRIPTS + FILLER, True)
-SPLIT = r"(?<=[.!?])\s+|\n+"
+def _holds_any(text: Column, signs: tuple[str, ...]) -> Column:
+    """Whether the text holds one of the signs: plain searches, stopped by the first hit."""
+    return reduce(Column.__or__, [text.contains(x) for x in signs])
+
+
+def has_notice(low: Column) -> Column:
+    """Whether a lower-case text holds filler, an error page's message or a script notice."""
+    return _holds_any(low, NOTICE_SIGNS) & low.rlike(NOTICES)
 
 
 def has_unfilled_place(text: Column) -> Column:
     """Whether an unfilled template place stands in the text; one that is only talked about does not count."""
-    return F.regexp_replace(text, MENTION, " ").rlike(_any(PLACES, False))
+    bare = F.when(text.contains("called") | text.contains("CALLED"), F.regexp_replace(text, MENTION, " ")).otherwise(text)
+    return _holds_any(F.lower(text), PLACE_SIGNS) & bare.rlike(_any(PLACES))
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """``doc_id, seg``: the distinct lines and sentences of every text, lower case, with digits as 0 and single spaces."""
-    parts = docs.select("doc_id", F.explode(F.split("text", SPLIT)).alias("seg"))
-    plain = F.regexp_replace(F.regexp_replace(F.lower("seg"), r"[0-9]+(?:[.,][0-9]+)*", "0"), r"[^\p{L}\p{N}']+", " ")
-    return parts.select("doc_id", F.trim(plain).alias("seg"), F.col("seg").rlike(NOTICES).alias("seed")).where("seg != ''")
+    """``doc_id, seg, seed``: the lines and sentences of every text, lower case, with digits as 0 and single spaces.
+
+    ``docs`` has ``notice``; only texts with one can have a seed, a segment with a notice.
+    """
+    parts = docs.select("doc_id", "notice", F.explode(F.split(F.lower("text"), SPLIT)).alias("seg"))
+    plain = F.regexp_replace(F.regexp_replace("seg", r"[0-9]+(?:[.,][0-9]+)*", "0"), r"[^\p{L}\p{N}']+", " ")
+    return parts.select("doc_id", F.trim(plain).alias("seg"), (F.col("notice") & has_notice(F.col("seg"))).alias("seed")).where("seg != ''")
 
 
 def _shingles(c: Column) -> Column:
@@ -117,8 +142,8 @@ def _bands(df: DataFrame) -> DataFrame:
     return df.select("*", F.inline(F.array(*each)))
 
 
-def spread_labels(segs: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """The segments in the same component as a seed, without the seeds: ``seg``.
+def spread_labels(segs: DataFrame, max_rounds: int = 20) -> DataFrame | None:
+    """The segments in the same component as a seed, without the seeds: ``seg``; None if there are none.
 
     ``segs``: distinct ``seg``, with ``hash`` and ``seed``. A link is a pair within RADIUS bits whose sets
     of five-word shingles have a Jaccard similarity of SIMILAR or more.
@@ -140,7 +165,7 @@ def spread_labels(segs: DataFrame, max_rounds: int = 20) -> DataFrame:
             break
         reached = new.select("seg") if reached is None else reached.union(new.select("seg"))
         front = new.select(F.col("seg").alias("from_seg"), F.col("hash").alias("from_hash"))
-    return reached if reached is not None else pool.select("seg").limit(0)
+    return reached
 
 
 def find_residue(docs: DataFrame) -> DataFrame:
@@ -151,10 +176,12 @@ def find_residue(docs: DataFrame) -> DataFrame:
     Texts are searched whole; repeated documents come out once per ``doc_id``.
     """
     slim = spread(docs.select("doc_id", "text").where("text is not null and text != ''"))
-    marked = slim.select("doc_id", "text", has_unfilled_place(F.col("text")).alias("place"), F.col("text").rlike(NOTICES).alias("notice"))
-    segs = segments(slim)
+    marked = slim.withColumn("notice", has_notice(F.lower("text")))
+    found = marked.select("doc_id", has_unfilled_place(F.col("text")).alias("place"), "notice", F.lit(False).alias("spread")).where("place or notice")
+    segs = segments(marked)
     distinct = cut(segs.groupBy("seg").agg(F.max("seed").alias("seed")).withColumn("hash", simhash("seg")))
-    more = spread_labels(distinct).select("seg").distinct()
-    extra = segs.join(more, "seg", "left_semi").select("doc_id", F.lit(False).alias("place"), F.lit(False).alias("notice"), F.lit(True).alias("spread"))
-    both = marked.where("place or notice").select("doc_id", "place", "notice", F.lit(False).alias("spread")).unionByName(extra)
-    return both.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("place", "notice", "spread")])
+    more = spread_labels(distinct)
+    if more is not None:
+        extra = segs.join(more.distinct(), "seg", "left_semi").select("doc_id", F.lit(False).alias("place"), F.lit(False).alias("notice"), F.lit(True).alias("spread"))
+        found = found.unionByName(extra)
+    return found.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("place", "notice", "spread")])
