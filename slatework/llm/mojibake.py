@@ -63,22 +63,25 @@ def _read_as(raw: bytes, enc: str) -> str | None:
 
 
 @lru_cache(maxsize=1)
-def transforms() -> tuple[list[str], dict[str, list[tuple[int, str]]]]:
-    """(names of the pairs, shown text -> [(pair, original)])."""
-    pairs, shown = [], {}
+def transforms() -> tuple[list[str], dict[str, list[tuple[int, str]]], dict[tuple[int, str], str]]:
+    """(names of the pairs, shown text -> [(pair, original)], (pair, original) -> shown text).
+
+    Shown texts also come in small and in capital letters, as later software may have made them.
+    """
+    pairs, shown, exact = [], {}, {}
     for w in WRITTEN:
         for r in READ:
             if w == r:
                 continue
             pairs.append(f"{w}>{r}")
-            _add(shown, len(pairs) - 1, w, [r])
+            _add(shown, exact, len(pairs) - 1, w, [r])
     for r in ("cp1252", "latin-1"):
         pairs.append(f"utf-8>{r} twice")
-        _add(shown, len(pairs) - 1, "utf-8", [r, r])
-    return pairs, shown
+        _add(shown, exact, len(pairs) - 1, "utf-8", [r, r])
+    return pairs, shown, exact
 
 
-def _add(shown: dict, pair: int, written: str, read: list[str]) -> None:
+def _add(shown: dict, exact: dict, pair: int, written: str, read: list[str]) -> None:
     for o in _letters() + ([*SIGNS, *_cyrillic()] if written == "utf-8" else []):
         t: str | None = o
         for k, r in enumerate(read):
@@ -90,6 +93,7 @@ def _add(shown: dict, pair: int, written: str, read: list[str]) -> None:
                 break
         if t is None or t == o or t.isascii():
             continue
+        exact[pair, o] = t
         for v in {t, t.lower(), t.upper()}:
             if not v.isascii() and (pair, o) not in shown.setdefault(v, []):
                 shown[v].append((pair, o))
@@ -172,7 +176,7 @@ class Decoder:
 
     def __init__(self, language: Language, priors: dict[str, float] | None = None):
         self.lm = language
-        self.pairs, self.shown = transforms()
+        self.pairs, self.shown, self.exact = transforms()
         self.longest = max(map(len, self.shown))
         self.damaged_signs = frozenset(c for s in self.shown for c in s)
         utf8 = [p.startswith("utf-8") for p in self.pairs]
@@ -285,13 +289,14 @@ def label_one(decoder: Decoder, name: str | None) -> tuple[str | None, str | Non
         return None, name, True, odds, False
     out, at, whole = [], 0, pair >= 0
     rest = "".join(c for c in name if c.isascii() and c.isalpha())
-    case = str.upper if len(rest) > 1 and rest.isupper() else str.lower if name.islower() else str
+    capitals = len(rest) > 1 and rest.isupper()
     for s, e, o in spans:
         out.append(name[at:s])
         # A mark without its partner, or a lost character, has no inverse and stays.
         known = pair >= 0 and any(k == pair and v == o for k, v in decoder.shown.get(name[s:e], ()))
         whole &= known
-        out.append(case(o) if known else name[s:e])
+        small = known and name[s:e] != decoder.exact[pair, o] and name[s:e] == decoder.exact[pair, o].lower()
+        out.append((o.upper() if capitals else o.lower() if small else o) if known else name[s:e])
         at = e
     out.append(name[at:])
     return (decoder.pairs[pair] if pair >= 0 else "lost"), "".join(out), whole, odds, odds > 0
@@ -328,7 +333,7 @@ def fit(names: DataFrame, col: str = "name") -> tuple[Language, dict[str, float]
     seen = cut(seen.select(F.when(F.col("d.sure"), F.col("d.pair")).alias("pair"), F.when(F.col("d.sure"), F.col("d.restored")).otherwise(F.col("name")).alias("restored")))
     n = {r["pair"]: r["n"] for r in seen.groupBy("pair").agg(F.count("*").alias("n")).collect()}
     total = sum(n.values()) + 1.0
-    pairs, _ = transforms()
+    pairs, _, _ = transforms()
     return train_language(seen.where("pair is null or pair != 'lost'").withColumnRenamed("restored", "name")), {p: (n.get(p, 0) + 0.2) / total for p in pairs}
 
 
