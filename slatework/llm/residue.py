@@ -30,8 +30,9 @@ def _any(patterns: tuple[str, ...]) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-#: Bits are split into TABLES bands; a pair within RADIUS = TABLES - 1 bits agrees on at least one band.
-TABLES, RADIUS = 6, 5
+#: A fingerprint has WORDS times 64 bits, of which every word gives BANDS tables keyed by BAND_BITS bits. At a similarity
+#: of 0.8 a bit differs with probability 0.15: 24 tables of 10 bits miss one pair in 170, a radius of 54 of 256 bits one in 200.
+WORDS, BANDS, BAND_BITS, RADIUS = 4, 6, 10, 54
 
 # Words of the usual filler Latin.
 LATIN_FILLER = (
@@ -112,36 +113,45 @@ def _shingles(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
 
 
-@F.pandas_udf(T.LongType())
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """64-bit SimHash of a text's five-word shingles (of the whole text if it is shorter)."""
+    """The SimHash of a text's five-word shingles (of the whole text if it is shorter), as words of 64 bits."""
     seen: dict[str, int] = {}
     for s in batches:
         grams, starts, at = [], [], 0
         for t in s:
             h = word_hashes((t or "").split(" "), seen)
-            g = gram_hashes(h, min(SHINGLE, len(h)))
-            # the multiplicative hash is weak in its low bits
-            g = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            grams.append(g ^ (g >> np.uint64(27)))
+            grams.append(gram_hashes(h, min(SHINGLE, len(h))))
             starts.append(at)
-            at += len(g)
+            at += len(grams[-1])
         if not starts:
-            yield pd.Series([], dtype="int64")
+            yield pd.Series([], dtype=object)
             continue
-        bits = np.unpackbits(np.concatenate(grams).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
-        total = np.add.reduceat(bits, starts, axis=0)
-        n = np.diff([*starts, at])[:, None]
-        yield pd.Series(np.packbits(total * 2 > n, axis=1).view(np.int64).ravel())
-
-
-def _bands(df: DataFrame) -> DataFrame:
+        flat, n = np.concatenate(grams), np.diff([*starts, at])[:, None]
+        words = []
+        for w in range(WORDS):
+            # Every word of the fingerprint is made of hashes of its own (splitmix64).
+            x = flat + np.uint64(((w + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
+            words.append(np.packbits(np.add.reduceat(bits, starts, axis=0, dtype=np.int32) * 2 > n, axis=1).view(np.int64).ravel())
+        yield pd.Series(list(np.stack(words, axis=1)))
+
+
+def bands(df: DataFrame) -> DataFrame:
     """One row per table: ``band`` and the band's bits as ``bits``."""
-    edge = [round(64 * i / TABLES) for i in range(TABLES + 1)]
-    each = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)).alias("bits")) for i in range(TABLES)]
+    mask = F.lit((1 << BAND_BITS) - 1)
+    each = [F.struct(F.lit(BANDS * w + k).alias("band"), F.shiftrightunsigned(F.col("hash")[w], BAND_BITS * k).bitwiseAND(mask).alias("bits")) for w in range(WORDS) for k in range(BANDS)]
     return df.select("*", F.inline(F.array(*each)))
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Bits in which two fingerprints differ."""
+    return reduce(Column.__add__, [F.bit_count(a[w].bitwiseXOR(b[w])) for w in range(WORDS)])
+
+
 def spread_labels(segs: DataFrame, max_rounds: int = 20) -> DataFrame | None:
     """The segments in the same component as a seed, without the seeds: ``seg``; None if there are none.
 
@@ -152,9 +162,10 @@ def spread_labels(segs: DataFrame, max_rounds: int = 20) -> DataFrame | None:
     front = segs.where("seed").select(F.col("seg").alias("from_seg"), F.col("hash").alias("from_hash"))
     reached: DataFrame | None = None
     for _ in range(max_rounds):
-        keys = _bands(front.withColumnRenamed("from_hash", "hash")).withColumnRenamed("hash", "from_hash")
-        near = _bands(pool).join(keys, ["band", "bits"]).where(F.bit_count(F.col("hash").bitwiseXOR(F.col("from_hash"))) <= RADIUS)
-        near = near.select("seg", "hash", "from_seg").distinct()
+        keys = bands(front.withColumnRenamed("from_hash", "hash")).withColumnRenamed("hash", "from_hash")
+        near = bands(pool).join(keys, ["band", "bits"]).where(distance(F.col("hash"), F.col("from_hash")) <= RADIUS)
+        # Kept apart from the text comparison, which would else be made for every pair of a bucket.
+        near = cut(near.select("seg", "hash", "from_seg").distinct())
         a, b = _shingles(F.col("seg")), _shingles(F.col("from_seg"))
         same = F.size(F.array_intersect(a, b))
         new = near.where(same >= SIMILAR * (F.size(a) + F.size(b) - same)).select("seg", "hash").distinct()

@@ -96,28 +96,33 @@ def test_residue(spark):
 
 
 def test_labels_spread_through_components(spark):
-    seed = "please log in again to continue reading the rest of this very long members only story about the league and its many teams on our site today"
-    near = seed.replace("please log in", "kindly sign in now")
+    seed = "please log in again to continue reading here the rest of this very long members only story about the league and its many teams on our site today"
+    near = seed.replace("please log in", "sign in")
     far = near + " friends"
-    docs = [seed, f"A recap. {near}", far, "something else entirely that has words of its own and no end to them at all for now"]
+    docs = [seed, f"A recap.\n{near}", far, "something else entirely that has words of its own and no end to them at all for now"]
     got = {r["doc_id"]: (r["notice"], r["spread"]) for r in R.find_residue(_docs(spark, docs)).collect()}
     assert got[0] == (True, False)
-    hashes = {r["seg"]: r["hash"] for r in R.segments(_docs(spark, docs).selectExpr("doc_id", "text", "false as notice")).withColumn("hash", R.simhash("seg")).collect()}
-    close = lambda a, b: (hashes[a] ^ hashes[b]).bit_count() <= R.RADIUS
-    assert got.get(2) == ((False, True) if close(near, far) and 1 in got else None)
+    assert got[2] == (False, True)  # linked to the seed by the second document only
+    assert got[1] == (False, True)
     assert 3 not in got
 
 
-def test_simhash_of_near_duplicates_is_near(spark):
+def test_tables_find_near_duplicates(spark):
+    """Recall of pairs of similarity 0.8 and more against brute force, and no unlike pair within the radius."""
     r = random.Random(5)
     words = [f"w{i}" for i in range(500)]
-    base = [" ".join(r.choices(words, k=120)) for _ in range(30)]
-    docs = spark.createDataFrame([(t,) for b in base for t in (b, b + " end")], "seg string").withColumn("hash", R.simhash("seg"))
-    got = {x["seg"]: x["hash"] for x in docs.collect()}
-    apart = [(got[b] ^ got[b + " end"]).bit_count() for b in base]
-    other = [(got[a] ^ got[b]).bit_count() for a, b in zip(base, base[1:], strict=False)]
-    assert sum(x <= R.RADIUS for x in apart) >= 27
-    assert min(other) > R.RADIUS
+    base = [r.choices(words, k=60) for _ in range(150)]
+    texts = [(2 * i + k, " ".join(b if k == 0 else [*b[: 57 - i % 2], "new", *b[58 - i % 2 :]])) for i, b in enumerate(base) for k in (0, 1)]
+    rows = spark.createDataFrame(texts, "id long, seg string").withColumn("hash", R.simhash("seg"))
+    grams = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in texts}
+    alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    want = {(2 * i, 2 * i + 1) for i in range(150) if alike(2 * i, 2 * i + 1) >= 0.8}
+    x, y = (R.bands(rows).selectExpr("band", "bits", f"id as {n}", f"hash as h{n}") for n in "ab")
+    near = x.join(y, ["band", "bits"]).where("a < b").where(R.distance(R.F.col("ha"), R.F.col("hb")) <= R.RADIUS).select("a", "b").distinct()
+    got = {tuple(p) for p in near.collect()}
+    assert len(want) > 100
+    assert len(want & got) >= 0.95 * len(want)
+    assert all(b == a + 1 and a % 2 == 0 for a, b in got)
 
 
 def test_rake():
