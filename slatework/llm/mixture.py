@@ -64,8 +64,9 @@ def assign_topics(docs: DataFrame, k: int = TOPICS, sample: int = TOPIC_SAMPLE,
         return docs.withColumn("topic", F.lit(0))
     weighted = IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2).fit(tf).transform(tf)
     normed = Normalizer(inputCol="_idf", outputCol="features").transform(weighted)
-    some = normed.where(hash01(F.col("doc_id"), seed=seed) < min(1.0, sample / n)).select("features")
-    model = KMeans(k=k, seed=seed, maxIter=15).fit(cut(some))
+    some = normed.where(hash01(F.col("doc_id"), seed=seed) < min(1.0, sample / n)).select("doc_id", "features")
+    # In one partition and in order, so that the same documents give the same centres; its size is bounded.
+    model = KMeans(k=k, seed=seed, maxIter=15).fit(cut(some.coalesce(1).sortWithinPartitions("doc_id")))
     return model.transform(normed).select(*docs.columns, F.col("prediction").alias("topic"))
 
 
