@@ -80,3 +80,35 @@ def surname(key: Column) -> Column:
     """Last word of a name key, ignoring words that open a parenthesis; '' if there is none."""
     words = F.filter(F.split(key, " "), lambda w: ~w.startswith("(") & (w != ""))
     return F.coalesce(F.try_element_at(words, F.lit(-1)), F.when(key.isNotNull(), F.lit("")))
+
+
+def ordinal(n: Column) -> Column:
+    """``1st 2nd 3rd 4th 11th …``."""
+    ten, one = n % 100, n % 10
+    end = F.when(ten.between(11, 13), "th").when(one == 1, "st").when(one == 2, "nd").when(one == 3, "rd").otherwise("th")
+    return F.concat(n.cast("string"), end)
+
+
+def escape_html(c: Column) -> Column:
+    """``& < > "`` as entities."""
+    out = c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def level_label(level: Column) -> Column:
+    """A level as that many plus or minus signs, '' for 0 or null."""
+    n = F.abs(F.coalesce(level, F.lit(0))).cast("int")
+    return F.when(level > 0, F.repeat(F.lit("+"), n)).otherwise(F.repeat(F.lit("−"), n))
+
+
+def rounded(c: Column, digits: int = 6) -> Column:
+    """Half-even, as interchange files hold numbers: 6 digits for statistics, 1 for ages and picks."""
+    return F.bround(c, digits)
+
+
+def heading_key(c: Column) -> Column:
+    """A comparable heading: lower case, only letters, digits and ``+ - / %``, single spaces, no leading apostrophe."""
+    t = F.regexp_replace(F.lower(F.regexp_replace(c, "^'+", "")), r"[^a-z0-9+\-/%]+", " ")
+    return F.trim(t)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.functions.scalars import name_key, parse_number, parse_positions, surname
+from slatework.functions.scalars import level_label, name_key, ordinal, parse_number, parse_positions, surname
 from slatework.operators import blend, identity, metrics, score, value
+from slatework.operators import board as bd
 from slatework.operators.ordering import global_row_number
 from slatework.session import table
 from slatework.streaming import events as ev
@@ -61,9 +62,9 @@ def players(spark: SparkSession, sf_dir: str, before: str | None = None) -> Data
 
 def taken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that a purchase event names."""
-    n = table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("m"))
+    most = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 1
     e = table(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 7 = 0")
-    return e.crossJoin(F.broadcast(n)).select((F.col("event_id") % F.col("m") + 1).alias("player")).distinct()
+    return e.select((F.col("event_id") % most + 1).alias("player")).distinct()
 
 
 def board(spark: SparkSession, sf_dir: str, live: bool = False) -> DataFrame:
@@ -457,3 +458,44 @@ def ref_clamped_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A level per user that purchases raise and errors lower, never beyond three either way."""
     step = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1)
     return ev.clamped_levels(_events(spark, sf_dir), "user_id", step)
+
+
+@_query(_BASE + " SELECT player, source, round_even(max(value) FILTER (stat = 'GP'), 6) AS gp, round_even(max(value) FILTER (stat = 'G'), 6) AS g FROM lines GROUP BY 1, 2")
+def ref_interchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bd.interchange(stat_lines(spark, sf_dir), ["GP", "G"])
+    flat = packed.select("player", F.explode("lines").alias("source", "v"))
+    return flat.select("player", F.col("source").cast("int").alias("source"), F.col("v")[0].alias("gp"), F.col("v")[1].alias("g"))
+
+
+@_query("""
+WITH b AS (SELECT lower(p_name) AS n, max(p_partkey) AS player FROM part GROUP BY 1), s AS (SELECT upper(p_name) || CASE WHEN p_partkey % 5 = 0 THEN '?' ELSE '' END AS name, p_partkey AS mark FROM part WHERE p_partkey % 7 = 0)
+SELECT s.name, s.mark, b.player FROM s JOIN b ON b.n = lower(s.name)""")
+def ref_name_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parts(spark, sf_dir)
+    end = F.when(F.col("player") % 5 == 0, "?").otherwise("")
+    state = p.where("player % 7 = 0").select(F.concat(F.upper("name"), end).alias("name"), F.col("player").alias("mark"))
+    return bd.by_name(p, state)[0].select("name", "mark", "player")
+
+
+@_query(_BOARD + """ SELECT player, rank || CASE WHEN rank % 100 BETWEEN 11 AND 13 THEN 'th' WHEN rank % 10 = 1 THEN 'st' WHEN rank % 10 = 2 THEN 'nd' WHEN rank % 10 = 3 THEN 'rd' ELSE 'th' END AS place,
+  CASE WHEN list_contains(pos, 'G') THEN 'G' WHEN list_contains(pos, 'D') THEN 'D' ELSE 'F' END AS kind, repeat(CASE WHEN player % 7 > 3 THEN '+' ELSE '−' END, abs(player % 7 - 3)::BIGINT) AS level FROM board""")
+def ref_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = board(spark, sf_dir)
+    return b.select("player", ordinal(F.col("rank")).alias("place"), value.group_of(F.col("pos")).alias("kind"), level_label(F.col("player") % 7 - 3).alias("level"))
+
+
+@_query(_BOARD + """, nat AS (SELECT l_partkey AS player, min(s_nationkey) AS team FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1), sch AS (SELECT n_nationkey AS team, (n_nationkey * 7) % 25 AS nights FROM nation WHERE n_nationkey <> 3),
+c AS (SELECT quantile_cont(nights, 0.25) AS lo, quantile_cont(nights, 0.75) AS hi FROM sch)
+SELECT board.player, CASE WHEN nights IS NULL THEN NULL WHEN nights >= hi THEN 1 WHEN nights <= lo THEN -1 ELSE 0 END AS nights_band FROM board JOIN nat USING (player) LEFT JOIN sch USING (team), c""")
+def ref_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = stat_lines(spark, sf_dir).groupBy("player").agg(F.min("source").alias("team"))
+    schedule = table(spark, sf_dir, "nation").where("n_nationkey != 3").select(F.col("n_nationkey").alias("team"), (F.col("n_nationkey") * 7 % 25).alias("nights"))
+    return bd.attach_schedule(first, schedule, ("nights",)).select("player", "nights_band")
+
+
+@_query()
+def ref_fill_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rosters of twelve owners who pick in turn, filled slot by slot."""
+    b = board(spark, sf_dir).where(F.col("rank") <= TEAMS * 16)
+    picks = b.select((F.col("rank") % TEAMS).cast("string").alias("owner"), "player", "vorp", "pos")
+    return bd.fill_slots(picks, {k: v for k, v in SLOTS.items() if k != "BN"}, {})
