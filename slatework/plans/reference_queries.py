@@ -453,7 +453,9 @@ def ref_toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.toggled(_events(spark, sf_dir), "user_id", "click", "purchase", "error")
 
 
-@_query()
+@_query("""
+WITH s AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 END AS d FROM events)
+SELECT user_id, list_reduce(list_prepend(0, list(d ORDER BY ts, event_id)), lambda x, y: least(3, greatest(-3, x + y)))::INT AS level FROM s WHERE d IS NOT NULL GROUP BY 1""")
 def ref_clamped_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A level per user that purchases raise and errors lower, never beyond three either way."""
     step = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1)
