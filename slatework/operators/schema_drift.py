@@ -174,7 +174,7 @@ def consistent_table(files: DataFrame, cells: DataFrame, origins: DataFrame | No
     origins = field_origins(files) if origins is None else origins
     sheet = F.create_map(*[F.lit(x) for kv in SHEET_OF.items() for x in kv])[F.col("section")]
     head = files.select("file_id", "header_row").dropDuplicates(["file_id"])
-    rows = cells.join(head, "file_id")
+    rows = cells.select("file_id", "sheet", "row_no", "cells").join(head, "file_id")
     heads = rows.where(F.col("row_no") == F.col("header_row")).groupBy("file_id", "sheet").agg(F.min("cells").alias("heads"))
     heads = heads.select("file_id", "sheet", F.transform("heads", heading_key).alias("heads"))
     plan = origins.select("file_id", sheet.alias("sheet"), "origin", "col", "head").join(heads, ["file_id", "sheet"])

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from slatework.operators import schema_drift as S
 
 FILES = "file_id long, edition string, header_row int, published_at timestamp, columns string, goalie_columns string, was string"
@@ -64,6 +66,6 @@ def test_consistent_table(spark):
             (1, "main", 5, ["League Average", "", "", "3"]), (1, "main", 6, [None, "x", "C", "1"]), (2, "main", 1, ["Who", "Team", "Pos", "Hits"]), (2, "main", 2, ["Bo", "ABC", "D", "--"]), (2, "other", 1, ["?"]),
         ],
         "file_id long, sheet string, row_no int, cells array<string>",
-    )
+    ).withColumn("header_row", F.lit(7)).withColumn("heads", F.lit("clash"))
     got = {r["name"]: (r["file_id"], r["pos"], r["stats"]) for r in S.consistent_table(files, cells).collect()}
     assert got == {"Ann": (1, ["C", "LW"], {"HIT": 1020.5}), "Bo": (2, ["D"], {})}
