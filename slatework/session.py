@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,21 @@ def build_session(app: str = "slatework", cpus: str | int = "*", **conf: str) ->
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the executors once per context, where they don't find it by PYTHONPATH."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(root) in paths or getattr(sc, "_slatework_shipped", False):
+        return
+    out = Path(tempfile.mkdtemp(prefix="slatework-")) / "slatework.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted((root / "slatework").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(out))
+    sc._slatework_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table as a lazily read Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
