@@ -149,22 +149,33 @@ class Language:
         return got
 
 
-COUNTS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("c", T.StringType()), T.StructField("n", T.LongType())])
+COUNTS = T.StructType([T.StructField("odd", T.BooleanType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("c", T.StringType()), T.StructField("n", T.LongType())])
 
 
-def train_language(names: DataFrame, col: str = "name") -> Language:
-    """The trigram counts of all rows of ``col``; what reaches the driver is bounded by the alphabet."""
+def is_odd(c: Column) -> Column:
+    """Whether a name can be damaged at all: it isn't pure ASCII, or holds a question mark."""
+    return (F.octet_length(c) != F.length(c)) | c.contains("?")
+
+
+def count_grams(names: DataFrame) -> dict[bool, Counter]:
+    """Trigram counts of ``name``, each counted ``k`` times, apart for odd names and others.
+
+    Counts are summed per task first; what reaches the driver is bounded by the alphabet.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: Counter = Counter()
         for pdf in batches:
-            for name, n in pdf[col].value_counts().items():
+            for name, odd, k in zip(pdf["name"], pdf["odd"], pdf["k"], strict=True):
                 for g in _grams(name):
-                    got[g] += n
+                    got[odd, *g] += k
         yield pd.DataFrame([(*g, n) for g, n in got.items()], columns=COUNTS.names)
 
-    rows = names.select(col).where(F.col(col).isNotNull()).mapInPandas(count, COUNTS).groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
-    return Language({(r["a"], r["b"], r["c"]): r["n"] for r in rows.collect()})
+    rows = names.select("name", "odd", "k").mapInPandas(count, COUNTS).groupBy("odd", "a", "b", "c").agg(F.sum("n").alias("n"))
+    out: dict[bool, Counter] = {False: Counter(), True: Counter()}
+    for r in rows.collect():
+        out[r["odd"]][r["a"], r["b"], r["c"]] = r["n"]
+    return out
 
 
 # --------------------------------------------------------------------------------------------------
@@ -321,20 +332,29 @@ def _labeller(model: tuple[Language, dict[str, float] | None]):
     return F.pandas_udf(label, LABEL)
 
 
+def _distinct(names: DataFrame) -> DataFrame:
+    """``name, k, odd``: every name once, with the number of its rows. A name that most rows share is summed up per task first."""
+    return names.where("name is not null").groupBy("name").agg(F.count("*").alias("k")).withColumn("odd", is_odd(F.col("name")))
+
+
 def fit(names: DataFrame, col: str = "name") -> tuple[Language, dict[str, float]]:
     """The language and the pairs' prior probabilities, by one round of hard expectation-maximisation.
 
-    A first pass over all rows decodes with uniform priors; what it restores trains the language anew
-    and how often it found each pair gives the prior. Only bounded counts reach the driver.
+    A first pass over all names decodes with uniform priors; what it restores trains the language anew
+    and how often it found each pair gives the prior. Rows count as often as they occur; only odd names
+    are decoded, each once. Only bounded counts reach the driver.
     """
-    rows = spread(names.select(F.col(col).alias("name")).where(F.col(col).isNotNull()))
-    first = names.sparkSession.sparkContext.broadcast((train_language(rows), None))
-    seen = rows.select("name", _labeller(first)("name").alias("d"))
-    seen = cut(seen.select(F.when(F.col("d.sure"), F.col("d.pair")).alias("pair"), F.when(F.col("d.sure"), F.col("d.restored")).otherwise(F.col("name")).alias("restored")))
-    n = {r["pair"]: r["n"] for r in seen.groupBy("pair").agg(F.count("*").alias("n")).collect()}
-    total = sum(n.values()) + 1.0
+    each = cut(_distinct(names.select(F.col(col).alias("name"))))
+    counts = count_grams(each)
+    first = names.sparkSession.sparkContext.broadcast((Language(counts[False] + counts[True]), None))
+    seen = spread(each.where("odd")).select("name", "k", _labeller(first)("name").alias("d"))
+    pair = F.when(F.col("d.sure"), F.col("d.pair"))
+    seen = cut(seen.select(pair.alias("pair"), F.when(pair.isNotNull(), F.col("d.restored")).otherwise(F.col("name")).alias("name"), "k", F.lit(True).alias("odd")))
+    n = {r["pair"]: r["n"] for r in seen.groupBy("pair").agg(F.sum("k").alias("n")).collect()}
+    total = sum(n.values()) + (each.where("not odd").agg(F.sum("k")).first()[0] or 0) + 1.0
     pairs, _, _ = transforms()
-    return train_language(seen.where("pair is null or pair != 'lost'").withColumnRenamed("restored", "name")), {p: (n.get(p, 0) + 0.2) / total for p in pairs}
+    restored = count_grams(seen.where("pair is null or pair != 'lost'"))[True]
+    return Language(counts[False] + restored), {p: (n.get(p, 0) + 0.2) / total for p in pairs}
 
 
 def _words(c: Column) -> Column:
@@ -353,21 +373,24 @@ def label_names(rows: DataFrame, key: str, col: str = "name", model: tuple[Langu
     slim = rows.select(F.col(key).alias("key"), F.col(col).alias("name"))
     model = fit(slim) if model is None else model
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    seen = cut(spread(slim).withColumn("damage", _labeller(shared)(F.col("name"))))
+    # Every odd name is decoded once, and joined back to its rows at the end.
+    seen = cut(spread(_distinct(slim.select("name")).where("odd")).withColumn("damage", _labeller(shared)(F.col("name"))))
     near = seen.where("damage.pair is not null and not damage.sure").select("name", F.col("damage.restored").alias("restored")).distinct()
     shown, restored = _words(F.col("name")), _words(F.col("restored"))
     pairs = near.select("name", F.explode(F.filter(F.arrays_zip(shown.alias("shown"), restored.alias("mended")), lambda z: ~z["shown"].eqNullSafe(z["mended"]))).alias("z"))
     pairs = cut(pairs.select("name", F.lower("z.shown").alias("shown"), F.lower("z.mended").alias("mended")))
     wanted = pairs.select(F.col("shown").alias("word")).union(pairs.select("mended")).distinct()
-    counts = seen.select(F.explode(_words(F.col("name"))).alias("word")).join(wanted, "word", "left_semi").groupBy("word").count()
+    counts = slim.select(F.explode(_words(F.col("name"))).alias("word")).join(wanted, "word", "left_semi").groupBy("word").count()
     a = counts.select(F.col("word").alias("shown"), F.col("count").alias("n_shown"))
     b = counts.select(F.col("word").alias("mended"), F.col("count").alias("n_mended"))
     judged = pairs.join(a, "shown", "left").join(b, "mended", "left").groupBy("name")
     known = judged.agg(F.min(F.coalesce("n_mended", F.lit(0)) >= F.greatest(F.lit(2), OFTENER * F.coalesce("n_shown", F.lit(0)))).alias("known")).where("known")
-    out = seen.join(known, "name", "left")
+    judged = seen.join(known, "name", "left")
     found = F.col("damage.sure") | F.coalesce("known", F.lit(False))
+    hit = judged.where(found & F.col("damage.pair").isNotNull()).select("name", F.col("damage").alias("d"))
+    rows_ = slim.join(hit, "name", "left")
     kept = F.struct(
-        F.when(found, F.col("damage.pair")).alias("pair"), F.when(found, F.col("damage.restored")).otherwise(F.col("name")).alias("restored"),
-        (~found | F.col("damage.complete")).alias("complete"), F.col("damage.odds").alias("odds"), F.col("damage.sure").alias("sure"),
+        F.col("d.pair").alias("pair"), F.coalesce("d.restored", "name").alias("restored"), F.coalesce("d.complete", F.lit(True)).alias("complete"),
+        F.col("d.odds").alias("odds"), F.coalesce("d.sure", F.lit(False)).alias("sure"),
     )
-    return out.select(F.col("key").alias(key), F.col("name").alias(col), kept.alias("damage"))
+    return rows_.select(F.col("key").alias(key), F.col("name").alias(col), kept.alias("damage"))
