@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs with their confidence."""
-    return linkage.match(table(spark, sf_dir, "source_row"), table(spark, sf_dir, "team_code"))
+    return linkage.match_listings(table(spark, sf_dir, "source_row"), table(spark, sf_dir, "team_code"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
