@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -68,6 +69,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames no longer in use, which it does as the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def blocks(df: DataFrame, size: int) -> int:
     """How many driver-sized blocks of at most ``size`` rows ``df`` needs; at least one."""
     return max(1, -(-df.count() // size))
