@@ -95,6 +95,11 @@ def test_residue(spark):
     assert R.find_residue(_docs(spark, ["x" * 500_000 + " {{team}}", "fine"])).collect()[0]["doc_id"] == 0
 
 
+def test_filler_with_common_words(spark):
+    texts = ["Lorem ipsum dolor sit amet.", "Lorem ipsum dolor sit amet, sed do eiusmod tempor", "Sit, sed sit sed.", "They sit. Sed is an editor, and they sit there.", "He said lorem ipsum once."]
+    assert {r["doc_id"] for r in R.find_residue(_docs(spark, texts)).collect()} == {0, 1, 2}
+
+
 def test_labels_spread_through_components(spark):
     seed = "please log in again to continue reading here the rest of this very long members only story about the league and its many teams on our site today"
     near = seed.replace("please log in", "sign in")
