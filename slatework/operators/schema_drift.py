@@ -18,6 +18,8 @@ from slatework.session import cut
 SECTIONS = ("columns", "goalie_columns")
 #: Sheet whose cells each mapping describes.
 SHEET_OF = {"columns": "main", "goalie_columns": "goalie"}
+# Words that name a summary line, anywhere in its name or as all of it.
+SUMMARY = r"(?iu)\b(?:averages?|avg|totals?|subtotals?|median|durchschnitt|gesamt|moyenne|genomsnitt|totalt)\b|^\W*(?:mean|sum|summary|summe|summa|somme|medel)\W*$"
 IDENTITY = ("name", "team", "pos", "age")
 
 
@@ -168,8 +170,8 @@ def consistent_table(files: DataFrame, cells: DataFrame, origins: DataFrame | No
     Fields are named by their origin. Rules: a column number beyond the row, an unknown heading, a
     blank mark or an unreadable number is null (default rule); numbers lose thousands commas, a
     leading apostrophe and a per cent sign, and ``m:ss`` becomes minutes (cast rule). Banner, heading
-    and repeated heading lines, lines without a name and summary lines (no team and no position) are
-    no data. Files without a mapping for a sheet give no rows of it.
+    and repeated heading lines, lines without a name and summary lines (a name such as
+    ``League Average``, no team and no position) are no data; other names stay, whether or not their file has a team or position. Files without a mapping for a sheet give no rows of it.
     """
     origins = field_origins(files) if origins is None else origins
     sheet = F.create_map(*[F.lit(x) for kv in SHEET_OF.items() for x in kv])[F.col("section")]
@@ -196,4 +198,4 @@ def consistent_table(files: DataFrame, cells: DataFrame, origins: DataFrame | No
         )
     )
     out = got.select("file_id", "sheet", "row_no", text("name").alias("name"), text("team").alias("team"), parse_positions(text("pos")).alias("pos"), parse_number(text("age")).alias("age"), stats.alias("stats"))
-    return out.where(F.col("name").isNotNull() & ~(F.col("team").isNull() & (F.size("pos") == 0)))
+    return out.where(F.col("name").isNotNull() & ~(F.col("name").rlike(SUMMARY) & F.col("team").isNull() & (F.size("pos") == 0)))

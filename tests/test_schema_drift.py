@@ -69,3 +69,16 @@ def test_consistent_table(spark):
     ).withColumn("header_row", F.lit(7)).withColumn("heads", F.lit("clash"))
     got = {r["name"]: (r["file_id"], r["pos"], r["stats"]) for r in S.consistent_table(files, cells).collect()}
     assert got == {"Ann": (1, ["C", "LW"], {"HIT": 1020.5}), "Bo": (2, ["D"], {})}
+
+
+def test_players_without_team_and_position_stay(spark):
+    files = spark.createDataFrame([(1, "E", 1, _t(1), '{"name": 1, "team": 2, "pos": 3, "HIT": 4}', None, ""), (2, "E", 1, _t(2), '{"name": 1, "HIT": 2}', None, "")], FILES)
+    cells = spark.createDataFrame(
+        [
+            (1, "main", 1, ["Player", "Team", "Pos", "Hits"]), (1, "main", 2, ["Ann", "", None, "3"]), (1, "main", 3, ["Cut Short"]), (1, "main", 4, ["League Average", "", "", "2"]), (1, "main", 5, ["TOTALS"]), (1, "main", 6, ["Sum", "ABC", "C", "1"]),
+            (2, "main", 1, ["Player", "Hits"]), (2, "main", 2, ["Bo", "5"]), (2, "main", 3, ["Team average", "4"]),
+        ],
+        "file_id long, sheet string, row_no int, cells array<string>",
+    )
+    got = {r["name"]: (r["team"], r["pos"], r["stats"]) for r in S.consistent_table(files, cells).collect()}
+    assert got == {"Ann": (None, [], {"HIT": 3.0}), "Cut Short": (None, [], {}), "Sum": ("ABC", ["C"], {"HIT": 1.0}), "Bo": (None, [], {"HIT": 5.0})}
