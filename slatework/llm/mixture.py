@@ -26,8 +26,8 @@ from slatework.session import cut, hash01, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which the vocabulary's tokenizer cuts text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Documents that the topic model is fitted on, its terms and topics.
-TOPIC_SAMPLE, TERMS, TOPICS = 20_000, 4096, 8
+#: Terms and topics of the topic model, and the documents of each partition that it is fitted in.
+TERMS, TOPICS, FIT_ROWS = 4096, 8, 20_000
 #: Part of the largest feasible mix that is drawn, so that languages and topics leave room to be raked.
 FILL = 0.9
 #: A language with less than this part of all tokens is raked as "other".
@@ -51,11 +51,10 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     return docs.withColumn("tokens", tokens("text"))
 
 
-def assign_topics(docs: DataFrame, k: int = TOPICS, sample: int = TOPIC_SAMPLE, seed: int = 7) -> DataFrame:
+def assign_topics(docs: DataFrame, k: int = TOPICS, seed: int = 7) -> DataFrame:
     """``docs`` with ``topic``, the nearest of ``k`` clusters of TF-IDF vectors.
 
-    Term weights come from all documents; only the cluster centres are fitted on a sample of about
-    ``sample`` documents, chosen by hash. Without any text the topic is 0.
+    Term weights and cluster centres are fitted on all documents. Without any text the topic is 0.
     """
     words = docs.withColumn("_w", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 3))
     tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=TERMS).transform(words)
@@ -64,9 +63,9 @@ def assign_topics(docs: DataFrame, k: int = TOPICS, sample: int = TOPIC_SAMPLE,
         return docs.withColumn("topic", F.lit(0))
     weighted = IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2).fit(tf).transform(tf)
     normed = Normalizer(inputCol="_idf", outputCol="features").transform(weighted)
-    some = normed.where(hash01(F.col("doc_id"), seed=seed) < min(1.0, sample / n)).select("doc_id", "features")
-    # In one partition and in order, so that the same documents give the same centres; its size is bounded.
-    model = KMeans(k=k, seed=seed, maxIter=15).fit(cut(some.coalesce(1).sortWithinPartitions("doc_id")))
+    # The first centres are drawn by partition and order: both come from the documents alone, so that the same ones give the same centres.
+    placed = normed.select("doc_id", "features").repartition(12 + n // FIT_ROWS, "doc_id").sortWithinPartitions("doc_id")
+    model = KMeans(k=k, seed=seed, maxIter=15).fit(cut(placed))
     return model.transform(normed).select(*docs.columns, F.col("prediction").alias("topic"))
 
 

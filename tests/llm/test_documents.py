@@ -143,6 +143,22 @@ def test_rake():
     assert (X.rake(cells, {}, {})["weight"] == 0).all()
 
 
+def test_topics_are_fitted_on_all_documents(spark, monkeypatch):
+    fitted = []
+
+    class Counted(X.KMeans):
+        def fit(self, rows):
+            fitted.append((rows.count(), rows.rdd.getNumPartitions()))
+            return super().fit(rows)
+
+    monkeypatch.setattr(X, "KMeans", Counted)
+    docs = spark.range(25_000).selectExpr("id as doc_id", "concat('topic', char(97 + id % 8), ' words here') as text")
+    topics = X.assign_topics(docs)
+    assert topics.count() == 25_000
+    assert [n for n, _ in fitted] == [25_000]
+    assert fitted[0][1] > 1
+
+
 def test_mix(spark):
     r = random.Random(6)
     words = ["goal", "puck", "shift", "draft", "trade", "save", "tier", "wing"]
