@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,6 +24,8 @@ def build_session(app: str = "slatework", cpus: str | int = "*", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.compress", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SLATEWORK_DRIVER_MEMORY", "8g"))
@@ -53,12 +58,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     jsc = spark.sparkContext._jsc.sc()
     at = jsc.getCheckpointDir()
     if at.isDefined():
         return at.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="slatework-checkpoint-"))
     return jsc.getCheckpointDir().get()
 
@@ -69,6 +76,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stored: dict[str, SparkSession] = {}
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read from there: columns are pruned and compressed.
+
+    It survives the loss of executors. ``discard`` deletes it; what is left goes when Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._slatework_path = path
+    _stored[path] = spark
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes tables of ``store`` that no later job reads; other frames are left alone."""
+    for df in stored:
+        _delete(getattr(df, "_slatework_path", ""))
+
+
+def _delete(path: str) -> None:
+    spark = _stored.pop(path, None)
+    if spark is not None:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_stored):
+        with contextlib.suppress(Exception):
+            _delete(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of frames no longer in use, which it does as the driver collects its garbage."""
     gc.collect()
