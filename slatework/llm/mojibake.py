@@ -361,21 +361,19 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[\s\p{Z},.()]+"), lambda w: F.length(w) > 2)
 
 
-def label_names(rows: DataFrame, key: str, col: str = "name", model: tuple[Language, dict[str, float]] | None = None) -> DataFrame:
-    """``key, name`` and a struct ``damage``: ``pair`` (null if clean), ``restored``, ``complete``, ``odds``, ``sure``.
+def damages(rows: DataFrame, col: str = "name", model: tuple[Language, dict[str, float]] | None = None) -> DataFrame:
+    """``name, d``: every distinct damaged text of ``rows`` with its label as in ``label_names``.
 
-    ``pair`` names how the text was written and read, or ``lost`` where characters were replaced.
-    ``restored`` equals the input where it is clean. ``complete`` is false where a part could not be
-    restored. A path that is likely, but not surely damaged (``sure`` false) counts if every word it
-    changes is known to the corpus at least twice as often restored as it is shown. Null and empty
-    texts are clean; repeated keys keep one row each.
+    A path that is likely, but not surely damaged (``sure`` false) counts if every word it
+    changes is known to the corpus at least twice as often restored as it is shown.
     """
-    slim = rows.select(F.col(key).alias("key"), F.col(col).alias("name"))
+    slim = rows.select(F.col(col).alias("name"))
     model = fit(slim) if model is None else model
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    # Every odd name is decoded once, and joined back to its rows at the end.
-    seen = cut(spread(_distinct(slim.select("name")).where("odd")).withColumn("damage", _labeller(shared)(F.col("name"))))
-    near = seen.where("damage.pair is not null and not damage.sure").select("name", F.col("damage.restored").alias("restored")).distinct()
+    # Every odd text is labelled once; the few that come out damaged are what is joined back to the rows.
+    seen = spread(_distinct(slim).where("odd")).withColumn("damage", _labeller(shared)(F.col("name")))
+    seen = cut(seen.where("damage.pair is not null").select("name", "damage"))
+    near = seen.where("not damage.sure").select("name", F.col("damage.restored").alias("restored"))
     shown, restored = _words(F.col("name")), _words(F.col("restored"))
     pairs = near.select("name", F.explode(F.filter(F.arrays_zip(shown.alias("shown"), restored.alias("mended")), lambda z: ~z["shown"].eqNullSafe(z["mended"]))).alias("z"))
     pairs = cut(pairs.select("name", F.lower("z.shown").alias("shown"), F.lower("z.mended").alias("mended")))
@@ -385,10 +383,19 @@ def label_names(rows: DataFrame, key: str, col: str = "name", model: tuple[Langu
     b = counts.select(F.col("word").alias("mended"), F.col("count").alias("n_mended"))
     judged = pairs.join(a, "shown", "left").join(b, "mended", "left").groupBy("name")
     known = judged.agg(F.min(F.coalesce("n_mended", F.lit(0)) >= F.greatest(F.lit(2), OFTENER * F.coalesce("n_shown", F.lit(0)))).alias("known")).where("known")
-    judged = seen.join(known, "name", "left")
     found = F.col("damage.sure") | F.coalesce("known", F.lit(False))
-    hit = judged.where(found & F.col("damage.pair").isNotNull()).select("name", F.col("damage").alias("d"))
-    rows_ = slim.join(hit, "name", "left")
+    return seen.join(known, "name", "left").where(found).select("name", F.col("damage").alias("d"))
+
+
+def label_names(rows: DataFrame, key: str, col: str = "name", model: tuple[Language, dict[str, float]] | None = None) -> DataFrame:
+    """``key, name`` and a struct ``damage``: ``pair`` (null if clean), ``restored``, ``complete``, ``odds``, ``sure``.
+
+    ``pair`` names how the text was written and read, or ``lost`` where characters were replaced.
+    ``restored`` equals the input where it is clean. ``complete`` is false where a part could not be
+    restored. Null and empty texts are clean; repeated keys keep one row each.
+    """
+    slim = rows.select(F.col(key).alias("key"), F.col(col).alias("name"))
+    rows_ = slim.join(damages(slim, "name", model), "name", "left")
     kept = F.struct(
         F.col("d.pair").alias("pair"), F.coalesce("d.restored", "name").alias("restored"), F.coalesce("d.complete", F.lit(True)).alias("complete"),
         F.col("d.odds").alias("odds"), F.coalesce("d.sure", F.lit(False)).alias("sure"),
