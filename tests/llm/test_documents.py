@@ -80,11 +80,13 @@ def test_edited_passage(spark):
 RESIDUE = [
     "Final: {{ team }} by 4.", "It was [INSERT TEAM] again", "He took %HEADLINE% shots", "the <%= score %> half wall", "<!-- insert quote -->", "(goals TBD) this week", "took TK TK and left", "a ${city} win",
     "PLEASE ENABLE JAVASCRIPT TO CONTINUE.", "Error 503: no answer", "long recap and then Your session has expired. more", "Lorem ipsum dolor amet tincidunt", "asdf asdf asdf", "TODO: summary of A against B.", "Seite nicht gefunden – Fehler 404",
+    "Hello ((name)), welcome back.", "This page is temporarily unavailable, we are working on it.", "Vous devez autoriser le JavaScript pour lire cet article.", "Der Dienst ist gerade nicht erreichbar.", "he took undefined shots",
 ]
 CONTENT = [
     "Our template has a field called {{player}} which the script fills in.", "Slots are {C, LW} or {D} here, and [G] counts double.", "Save percentage of 39.7% [sic] said the wire.", "He signs as __Bo Ek__ on the forum.",
     "50% of shots, 30% of goals, rest on <b>Bo</b>.", "Goalies who faced 404 shots are rare; the page of history is his.", "It was an error by Bo, and the puck was not found.", "Access to the rink was denied for 9 minutes.",
     "The board is one page of JavaScript, so it is fast.", "Placeholder pick or not, he is fair.", "Cookies were served.", "", None,
+    "the goalie said please try again later to the reporter and smiled", "Scripts and cookies were sold at the rink.", "the role was left undefined by the coach", "Undefined roles in the lineup.", "He is a placeholder for the injured centre.",
 ]
 
 
@@ -112,6 +114,31 @@ def test_labels_spread_through_components(spark):
     assert 3 not in got
 
 
+@pytest.mark.parametrize("front", [0, 5000])
+def test_a_sentence_is_no_residue_by_a_copy_with_a_notice(spark, monkeypatch, front):
+    monkeypatch.setattr(R, "FRONT", front)
+    base = " ".join(f"word{i}" for i in range(27))
+    popular = "eligibility matters more than you think this spring and spots dry up fast"
+    docs = [f"{base} internal error", f"{base} indeed", base, f"{popular} access denied", popular]
+    assert {r["doc_id"] for r in R.find_residue(_docs(spark, docs)).collect()} == {0, 3}
+
+
+def test_other_punctuation_of_a_notice(spark):
+    docs = ["Please try again later.", "Please -- try again: later!", "he said please try again some time later"]
+    assert {r["doc_id"] for r in R.find_residue(_docs(spark, docs)).collect()} == {0, 1}
+
+
+def test_notices_in_unknown_words_are_found_by_their_company(spark, monkeypatch):
+    """With half of the notices unknown, those that share pages with known ones are found, and no content is."""
+    monkeypatch.setattr(R, "NOTICES", R._any((r"\baccess denied\b",)))
+    pages = ["Access denied.\nKindly contact the keeper of this site.\nRef 1", "Access denied.\nYour address was put on the list.\nRef 2"]
+    docs = [f"{pages[i % 2]}\nRecap {i} of game{i} number{i} here" for i in range(20)]
+    late = ["Kindly contact the keeper of this site.", "Recap.\nYour address was put on the list.", "The keeper of the net was kind.", "Ref 3"]
+    got = {r["doc_id"]: r["spread"] for r in R.find_residue(_docs(spark, docs + late)).collect()}
+    assert set(got) == {*range(20), 20, 21}
+    assert [got[20], got[21]] == [True, True]
+
+
 def test_tables_find_near_duplicates(spark):
     """Recall of pairs of similarity 0.8 and more against brute force, and no unlike pair within the radius."""
     r = random.Random(5)
@@ -122,8 +149,8 @@ def test_tables_find_near_duplicates(spark):
     grams = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in texts}
     alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
     want = {(2 * i, 2 * i + 1) for i in range(150) if alike(2 * i, 2 * i + 1) >= 0.8}
-    x, y = (R.bands(rows).selectExpr("band", "bits", f"id as {n}", f"hash as h{n}") for n in "ab")
-    near = x.join(y, ["band", "bits"]).where("a < b").where(R.distance(R.F.col("ha"), R.F.col("hb")) <= R.RADIUS).select("a", "b").distinct()
+    x, y = (R.bands(rows, k).selectExpr("band", "bits", "size", f"id as {n}", f"hash as h{n}") for k, n in enumerate("ab"))
+    near = x.join(y, ["band", "bits", "size"]).where("a < b").where(R.distance(R.F.col("ha"), R.F.col("hb")) <= R.RADIUS).select("a", "b").distinct()
     got = {tuple(p) for p in near.collect()}
     assert len(want) > 100
     assert len(want & got) >= 0.95 * len(want)
