@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatework.session import cut, hash01, spread
+from slatework.session import discard, hash01, store
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which the vocabulary's tokenizer cuts text.
@@ -51,22 +51,27 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     return docs.withColumn("tokens", tokens("text"))
 
 
+def count_terms(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``terms``, a sparse vector of the counts of its hashed words of four letters and more."""
+    words = docs.withColumn("_w", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 3))
+    return HashingTF(inputCol="_w", outputCol="terms", numFeatures=TERMS).transform(words).drop("_w")
+
+
 def assign_topics(docs: DataFrame, k: int = TOPICS, seed: int = 7) -> DataFrame:
-    """``docs`` with ``topic``, the nearest of ``k`` clusters of TF-IDF vectors.
+    """``docs`` (with ``doc_id, terms``) with ``topic``, the nearest of ``k`` clusters of TF-IDF vectors, without ``terms``.
 
-    Term weights and cluster centres are fitted on all documents. Without any text the topic is 0.
+    Term weights and cluster centres are fitted on all documents. Without any document the topic is 0.
     """
-    words = docs.withColumn("_w", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 3))
-    tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=TERMS).transform(words)
     n = docs.count()
+    rest = [c for c in docs.columns if c != "terms"]
     if not n:
-        return docs.withColumn("topic", F.lit(0))
-    weighted = IDF(inputCol="_tf", outputCol="_idf", minDocFreq=2).fit(tf).transform(tf)
+        return docs.select(*rest, F.lit(0).alias("topic"))
+    weighted = IDF(inputCol="terms", outputCol="_idf", minDocFreq=2).fit(docs).transform(docs)
     normed = Normalizer(inputCol="_idf", outputCol="features").transform(weighted)
     # The first centres are drawn by partition and order: both come from the documents alone, so that the same ones give the same centres.
     placed = normed.select("doc_id", "features").repartition(12 + n // FIT_ROWS, "doc_id").sortWithinPartitions("doc_id")
-    model = KMeans(k=k, seed=seed, maxIter=15).fit(cut(placed))
-    return model.transform(normed).select(*docs.columns, F.col("prediction").alias("topic"))
+    model = KMeans(k=k, seed=seed, maxIter=15).fit(placed)
+    return model.transform(normed).select(*rest, F.col("prediction").alias("topic"))
 
 
 def rake(cells: pd.DataFrame, target: dict[str, float], cap: dict[str, float], fill: float = FILL, rounds: int = 500, tol: float = 1e-7) -> pd.DataFrame:
@@ -148,8 +153,11 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, fill:
     """
     goal = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     wanted = {r["source"]: (float(r["target_share"] or 0), float(r["max_repeats"] or 0)) for r in goal.collect()}
-    slim = spread(docs.select("doc_id", "text", "source", "lang").where(F.col("source").isin(*wanted) if wanted else F.lit(False)))
-    known = cut(assign_topics(count_tokens(slim, vocabulary)).drop("text").where("tokens > 0"))
+    slim = docs.select("doc_id", "text", "source", "lang").where(F.col("source").isin(*wanted) if wanted else F.lit(False))
+    # The texts are read once, where they lie; what later passes need of them is kept.
+    counted = store(count_terms(count_tokens(slim, vocabulary)).drop("text").where("tokens > 0"))
+    known = store(assign_topics(counted))
+    discard(counted)
     langs = known.groupBy("lang").agg(F.sum("tokens").alias("n"))
     whole = langs.agg(F.sum("n")).first()[0] or 1
     common = [r["lang"] for r in langs.where(F.col("n") >= LEAST_SHARE * whole).collect() if r["lang"] is not None]
@@ -164,7 +172,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, fill:
     part = F.greatest(F.col("weight") - sure, F.lit(0.0))
     odds = hash01(F.col("doc_id"), seed=seed) / part
     drawn = known.join(weights, ["source", "lang", "topic"]).withColumn("sure", sure).withColumn("order", F.when(part > 1e-9, odds / (1.0 + odds)))
-    drawn = cut(drawn)
+    drawn = store(drawn)
     sums = {r["source"]: r for r in drawn.groupBy("source").agg(F.sum(F.col("weight") * F.col("tokens")).alias("goal"), F.sum(F.col("sure") * F.col("tokens")).alias("base")).collect()}
     edge = _thresholds(drawn.where("order is not null").select("source", "order", "tokens"), {s: r["goal"] - r["base"] for s, r in sums.items()})
     start = F.create_map(*[F.lit(x) for kv in edge.items() for x in kv])[F.col("source")]
@@ -177,7 +185,7 @@ def mix_report(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
 
     One row per source with its target, and per language and topic (no target of their own).
     """
-    drawn = cut(mix(docs, targets, vocabulary, fill))
+    drawn = store(mix(docs, targets, vocabulary, fill))
     used = F.col("tokens") * F.col("copies")
     rows = None
     for d in ("source", "lang", "topic"):

@@ -180,7 +180,7 @@ def test_topics_are_fitted_on_all_documents(spark, monkeypatch):
 
     monkeypatch.setattr(X, "KMeans", Counted)
     docs = spark.range(25_000).selectExpr("id as doc_id", "concat('topic', char(97 + id % 8), ' words here') as text")
-    topics = X.assign_topics(docs)
+    topics = X.assign_topics(X.count_terms(docs))
     assert topics.count() == 25_000
     assert [n for n, _ in fitted] == [25_000]
     assert fitted[0][1] > 1
