@@ -26,8 +26,8 @@ from slatework.session import discard, hash01, store
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which the vocabulary's tokenizer cuts text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Terms and topics of the topic model, and the documents of each partition that it is fitted in.
-TERMS, TOPICS, FIT_ROWS = 4096, 8, 20_000
+#: Terms and topics of the topic model.
+TERMS, TOPICS = 4096, 8
 #: Part of the largest feasible mix that is drawn, so that languages and topics leave room to be raked.
 FILL = 0.9
 #: A language with less than this part of all tokens is raked as "other".
@@ -57,10 +57,17 @@ def count_terms(docs: DataFrame) -> DataFrame:
     return HashingTF(inputCol="_w", outputCol="terms", numFeatures=TERMS).transform(words).drop("_w")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` stored in partitions and an order that come from ``doc_id`` alone."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return store(docs.repartition(n, "doc_id").sortWithinPartitions("doc_id"))
+
+
 def assign_topics(docs: DataFrame, k: int = TOPICS, seed: int = 7) -> DataFrame:
     """``docs`` (with ``doc_id, terms``) with ``topic``, the nearest of ``k`` clusters of TF-IDF vectors, without ``terms``.
 
-    Term weights and cluster centres are fitted on all documents. Without any document the topic is 0.
+    Term weights and cluster centres are fitted on all documents. The first centres are drawn by partition and order of
+    ``docs``: pass what ``placed`` gives, so that the same documents give the same centres. Without any document the topic is 0.
     """
     n = docs.count()
     rest = [c for c in docs.columns if c != "terms"]
@@ -68,9 +75,7 @@ def assign_topics(docs: DataFrame, k: int = TOPICS, seed: int = 7) -> DataFrame:
         return docs.select(*rest, F.lit(0).alias("topic"))
     weighted = IDF(inputCol="terms", outputCol="_idf", minDocFreq=2).fit(docs).transform(docs)
     normed = Normalizer(inputCol="_idf", outputCol="features").transform(weighted)
-    # The first centres are drawn by partition and order: both come from the documents alone, so that the same ones give the same centres.
-    placed = normed.select("doc_id", "features").repartition(12 + n // FIT_ROWS, "doc_id").sortWithinPartitions("doc_id")
-    model = KMeans(k=k, seed=seed, maxIter=15).fit(placed)
+    model = KMeans(k=k, seed=seed, maxIter=15).fit(normed.select("features"))
     return model.transform(normed).select(*rest, F.col("prediction").alias("topic"))
 
 
@@ -155,7 +160,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, fill:
     wanted = {r["source"]: (float(r["target_share"] or 0), float(r["max_repeats"] or 0)) for r in goal.collect()}
     slim = docs.select("doc_id", "text", "source", "lang").where(F.col("source").isin(*wanted) if wanted else F.lit(False))
     # The texts are read once, where they lie; what later passes need of them is kept.
-    counted = store(count_terms(count_tokens(slim, vocabulary)).drop("text").where("tokens > 0"))
+    counted = placed(count_terms(count_tokens(slim, vocabulary)).drop("text").where("tokens > 0"))
     known = store(assign_topics(counted))
     discard(counted)
     langs = known.groupBy("lang").agg(F.sum("tokens").alias("n"))
