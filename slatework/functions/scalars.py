@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 import pandas as pd
@@ -15,6 +16,15 @@ POSITIONS = ("C", "LW", "RW", "D", "G")
 SUFFIX_WORDS = ("jr", "sr", "ii", "iii", "iv")
 
 
+def finite_or(x: object, other: float) -> float:
+    """A setting as a finite number; ``other`` for anything else."""
+    try:
+        n = float(x)
+    except (TypeError, ValueError):
+        return other
+    return n if math.isfinite(n) else other
+
+
 def js_round(c: Column) -> Column:
     """Round half up towards plus infinity."""
     return F.floor(c + F.lit(0.5))

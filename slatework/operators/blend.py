@@ -36,7 +36,7 @@ def blend_totals(lines: DataFrame, weights: DataFrame) -> DataFrame:
     return lines.select("player", "stat").distinct().join(out, ["player", "stat"], "left")
 
 
-def blend_rates(lines: DataFrame, weights: DataFrame, counting: list[str], volume: str = "GP", volume_source: str | None = None) -> DataFrame:
+def blend_rates(lines: DataFrame, weights: DataFrame, counting: list[str], volume: str = "GP", volume_source: str | int | None = None) -> DataFrame:
     """``player, stat, value``: counting statistics blended per unit of volume, times the blended volume.
 
     Each source's counting values are divided by its own volume (a source without one is skipped) and
@@ -49,7 +49,7 @@ def blend_rates(lines: DataFrame, weights: DataFrame, counting: list[str], volum
     vol = all_lines.where(F.col("stat") == volume)
     per = vol.groupBy("player").agg(
         mean_of(F.col("value"), F.col("weight")).alias("blended"),
-        (F.max(F.when(F.col("source") == volume_source, F.col("value"))) if volume_source else F.lit(None).cast("double")).alias("chosen"),
+        (F.max(F.when(F.col("source") == volume_source, F.col("value"))) if volume_source is not None else F.lit(None).cast("double")).alias("chosen"),
     )
     per = per.select("player", F.when(truthy(F.col("chosen")), F.col("chosen")).otherwise(F.col("blended")).alias("games"))
     own = vol.select("player", "source", F.col("value").alias("own"))
@@ -67,7 +67,16 @@ def mean_of_parts(picks: DataFrame, parts: list[str]) -> DataFrame:
     return picks.where(F.col("provider").isin(*parts)).groupBy("key").agg(F.avg("value").alias("value"))
 
 
-def coverage(lines: DataFrame) -> DataFrame:
-    """``source, players, stats``: players and statistics with any value, per source."""
+def coverage(lines: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """``source, players, stats``: players and statistics with any value, per source; with ``positions(player, pos)`` also ``has_goalies``."""
     live = lines.where(_present(F.col("value")))
-    return live.groupBy("source").agg(F.countDistinct("player").alias("players"), F.countDistinct("stat").alias("stats"))
+    counts = [F.countDistinct("player").alias("players"), F.countDistinct("stat").alias("stats")]
+    if positions is None:
+        return live.groupBy("source").agg(*counts)
+    goalies = positions.groupBy("player").agg(F.max(F.array_contains("pos", "G")).alias("_g"))
+    return live.join(goalies, "player", "left").groupBy("source").agg(*counts, F.max(F.coalesce("_g", F.lit(False))).alias("has_goalies"))
+
+
+def shown_stats(lines: DataFrame, scored: list[str], volume: str = "GP") -> DataFrame:
+    """``stat``: the statistics a detail view has columns for: scored ones and the volume, if any source has a value."""
+    return lines.where(F.col("stat").isin(volume, *scored) & _present(F.col("value"))).select("stat").distinct()

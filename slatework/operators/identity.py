@@ -97,9 +97,9 @@ def unmatched(secondary: DataFrame, primary: DataFrame) -> DataFrame:
 def prefer_aggregate(rows: DataFrame, key: str, team: str, games: str, order: str, pattern: str = r"^\d+TM$") -> DataFrame:
     """One row per key: the first whose team marks a whole-season row, else the one with most games, the first of equals.
 
-    A falsy ``pattern`` disables the mark. Uses one aggregation, no window.
+    The team is tested as it stands, in capitals, without trimming. A falsy ``pattern`` disables the mark. One aggregation, no window.
     """
-    mark = F.coalesce(F.upper(F.trim(team)).rlike(pattern), F.lit(False)) if pattern else F.lit(False)
+    mark = F.coalesce(F.upper(team).rlike(pattern), F.lit(False)) if pattern else F.lit(False)
     rank = F.struct(F.when(mark, 0).otherwise(1), F.when(mark, 0.0).otherwise(-F.coalesce(F.col(games), F.lit(float("-inf")))), F.col(order))
     whole = F.struct(*rows.columns)
     return rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(whole, rank).alias("_r")).select("_r.*")

@@ -7,6 +7,8 @@ spread over many tasks, and mend the seams with one small row per partition.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +30,14 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> D
     """
     parts = range_sorted(df, order)
     counts = sorted((r["_pid"], r["n"]) for r in parts.groupBy("_pid").agg(F.count("*").alias("n")).collect())
-    offset, at = {}, 0
-    for pid, n in counts:
-        offset[pid] = at
-        at += n
-    pairs = [F.lit(x) for kv in offset.items() for x in kv]
-    start = F.element_at(F.create_map(*pairs), F.col("_pid")) if pairs else F.lit(0)
-    return parts.withColumn(name, (start + F.col("_seq") + 1).cast("long")).drop("_pid", "_seq")
+    ends = accumulate((n for _, n in counts), initial=0)
+    starts = _per_partition(df, [(pid, at) for (pid, _), at in zip(counts, ends, strict=False)], "_start")
+    return parts.join(starts, "_pid").withColumn(name, (F.col("_start") + F.col("_seq") + 1).cast("long")).drop("_pid", "_seq", "_start")
+
+
+def _per_partition(df: DataFrame, pairs: list[tuple[int, int]], name: str) -> DataFrame:
+    """``_pid`` and one number per partition, to be joined: as many rows as there are partitions."""
+    return F.broadcast(df.sparkSession.createDataFrame(pairs, f"_pid int, {name} long"))
 
 
 def previous_row(df: DataFrame, group: list[str], order: list[Column], prev: str = "prev") -> DataFrame:
@@ -47,14 +50,11 @@ def previous_row(df: DataFrame, group: list[str], order: list[Column], prev: str
     parts = range_sorted(df, [F.col(g).asc_nulls_first() for g in group] + order)
     inner = Window.partitionBy("_pid").orderBy("_seq")
     lagged = parts.withColumn("_me", F.struct(*cols)).withColumn("_before", F.lag("_me").over(inner))
-    edges = [(r["_pid"],) for r in parts.select("_pid").distinct().collect()]
-    pids = sorted(p for (p,) in edges)
-    before = {b: a for a, b in zip(pids, pids[1:], strict=False)}
-    if before:
-        link = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_pid"))
-        last = parts.groupBy(F.col("_pid").alias("_from")).agg(F.max_by(F.struct(*cols), "_seq").alias("_edge"))
-        lagged = lagged.withColumn("_from", F.when(F.col("_seq") == 0, link)).join(last, "_from", "left")
-        lagged = lagged.withColumn("_before", F.coalesce("_before", "_edge"))
+    pids = sorted(r["_pid"] for r in parts.select("_pid").distinct().collect())
+    if len(pids) > 1:
+        last = parts.groupBy(F.col("_pid").cast("long").alias("_from")).agg(F.max_by(F.struct(*cols), "_seq").alias("_edge"))
+        edge = _per_partition(df, list(zip(pids[1:], pids, strict=False)), "_from").join(last, "_from").select("_pid", F.lit(0).cast("long").alias("_seq"), "_edge")
+        lagged = lagged.join(edge, ["_pid", "_seq"], "left").withColumn("_before", F.coalesce("_before", "_edge"))
     same = F.lit(True)
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_before.{g}"))

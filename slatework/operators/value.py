@@ -8,9 +8,8 @@ part of all rows into one task; everything ordered runs over range partitions in
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.operators.ordering import global_row_number, nth_smallest, previous_row, rank_within, running
@@ -46,14 +45,17 @@ def eligible(players: DataFrame) -> DataFrame:
 def nth_best(pool: DataFrame, depth: dict[str, float]) -> DataFrame:
     """``position, level, depth``: the points of the n-th best per position, n rounded half up, 0-based, within the pool.
 
-    Each position is one bounded top-n selection, no full sort. An empty pool gives level 0 at depth 0.
+    One scan: every task keeps the best n of each position ahead of the shuffle (a group limit, which Spark plans for
+    limits up to ``spark.sql.optimizer.windowGroupLimitThreshold``). A position nobody plays has level 0 at depth 0.
     """
-    rows = []
-    for p in POSITIONS:
-        k = max(half_up(depth.get(p, 0.0)), 0) + 1
-        top = pool.where(F.array_contains("pos", p)).orderBy(F.desc("points")).select("points").limit(k)
-        rows.append(top.agg(F.lit(p).alias("position"), F.coalesce(F.min("points"), F.lit(0.0)).alias("level"), F.count("*").alias("depth")))
-    return reduce(DataFrame.unionByName, rows)
+    size = {p: max(half_up(depth.get(p, 0.0)), 0) + 1 for p in POSITIONS}
+    by = Window.partitionBy("position").orderBy(F.desc("points"))
+    ranked = pool.select("points", F.explode(F.array_distinct("pos")).alias("position")).where(F.col("position").isin(*POSITIONS))
+    ranked = ranked.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= max(size.values()))
+    top = ranked.where(F.col("_n") <= F.create_map(*[F.lit(x) for kv in size.items() for x in kv])[F.col("position")])
+    got = top.groupBy("position").agg(F.min("points").alias("level"), F.count("points").alias("depth"))
+    every = pool.sparkSession.range(1).select(F.explode(F.array(*[F.lit(p) for p in POSITIONS])).alias("position"))
+    return every.join(got, "position", "left").select("position", F.coalesce("level", F.lit(0.0)).alias("level"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def position_replacement(pool: DataFrame, slots: dict[str, float]) -> DataFrame:
@@ -80,13 +82,13 @@ def live_pool(players: DataFrame, taken: DataFrame) -> DataFrame:
     return players.join(taken.select("player"), "player", "left_anti")
 
 
-def best_value(players: DataFrame, replacement: DataFrame) -> DataFrame:
+def best_value(players: DataFrame, replacement: DataFrame | dict[str, float]) -> DataFrame:
     """``players`` with ``vorp`` and ``best_pos``: the most points over a level of an eligible position.
 
     Ties go to the earlier of C, LW, RW, D, G. Without an eligible position ``vorp`` is the points
-    and ``best_pos`` null. Levels are five rows, read as literals.
+    and ``best_pos`` null. Levels are five rows, read as literals, or given by position.
     """
-    level = {r["position"]: float(r["level"]) for r in replacement.collect()}
+    level = replacement if isinstance(replacement, dict) else {r["position"]: float(r["level"]) for r in replacement.collect()}
     each = [F.when(F.array_contains("pos", p), F.struct((F.col("points") - F.lit(level.get(p, 0.0))).alias("v"), F.lit(-i).alias("o"), F.lit(p).alias("p"))) for i, p in enumerate(POSITIONS)]
     best = F.array_max(F.array_compact(F.array(*each)))
     return players.select("*", F.coalesce(best["v"], F.col("points")).alias("vorp"), best["p"].alias("best_pos"))
@@ -144,17 +146,31 @@ def gap_tiers(valued: DataFrame, k: float = 1.0, depth: dict[str, int] | None =
 def drop_off(ranked: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """``player, drop_off, next_up``: the step down to the best player still free with strictly fewer points.
 
-    Within the best position; 0 and '' if there is none; of equal next players the best ranked.
-    Input: ``player, name, points, best_pos, rank``. An as-of lookup over distinct points, spread over tasks.
+    Among all who may play the player's best position; 0 and '' if there is none; of equal next players the best ranked.
+    Input: ``player, name, points, pos, best_pos, rank``. An as-of lookup over distinct points, spread over tasks.
     """
-    free = ranked.withColumn("_free", F.lit(True)) if taken is None else ranked.join(taken.select("player", F.lit(True).alias("_t")), "player", "left").withColumn("_free", F.col("_t").isNull()).drop("_t")
-    steps = free.where(F.col("best_pos").isNotNull()).groupBy("best_pos", "points").agg(F.min(F.when(F.col("_free"), F.struct("rank", "name"))).alias("_who"))
+    free = ranked.withColumn("_free", F.lit(True)) if taken is None else ranked.join(taken.select("player", F.lit(True).alias("_t")).distinct(), "player", "left").withColumn("_free", F.col("_t").isNull()).drop("_t")
+    asks = free.where(F.col("best_pos").isNotNull()).select("best_pos", "points", F.lit(None).cast("struct<rank:bigint,name:string>").alias("_w"))
+    offers = free.where("_free").select(F.explode("pos").alias("best_pos"), "points", F.struct(F.col("rank").cast("long").alias("rank"), "name").alias("_w"))
+    steps = asks.unionByName(offers).groupBy("best_pos", "points").agg(F.min("_w").alias("_who"))
     mark = F.when(F.col("_who").isNotNull(), F.struct("points", F.col("_who.name").alias("name")))
     seen = running(steps, ["best_pos"], [F.asc("points")], last_before={"_next": mark}).select("best_pos", "points", "_next")
     j = free.join(seen, ["best_pos", "points"], "left")
     return j.select("player", F.coalesce(F.col("points") - F.col("_next.points"), F.lit(0.0)).alias("drop_off"), F.coalesce("_next.name", F.lit("")).alias("next_up"))
 
 
+def consumed_counts(players: DataFrame, taken: DataFrame) -> dict[str, int]:
+    """How many taken players fall to each of the groups F, D and G; their sum is the number drafted."""
+    hit = players.join(taken.select("player").distinct(), "player", "left_semi")
+    got = hit.agg(*[F.count_if(group_of(F.col("pos")) == g).alias(g) for g in ("F", "D", "G")]).first()
+    return {g: int(got[g]) for g in ("F", "D", "G")}
+
+
+def remaining_spots(slots: dict[str, float], teams: int, drafted: int) -> int:
+    """Roster spots of the league that nobody fills yet; at least one."""
+    return int(max(teams * roster_spots(slots) - drafted, 1))
+
+
 def group_of(pos: Column) -> Column:
     """G before D before F."""
     return F.when(F.array_contains(pos, "G"), "G").when(F.array_contains(pos, "D"), "D").otherwise("F")

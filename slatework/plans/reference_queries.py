@@ -14,13 +14,13 @@ from slatework.functions.scalars import level_label, name_key, ordinal, parse_nu
 from slatework.operators import blend, identity, metrics, score, value
 from slatework.operators import board as bd
 from slatework.operators.ordering import global_row_number
-from slatework.session import table
+from slatework.plans import valuation as val
+from slatework.session import store, table
 from slatework.streaming import events as ev
 
 SLOTS = {"C": 2, "LW": 2, "RW": 2, "D": 4, "G": 2, "BN": 4}
 TEAMS = 12
-#: Added before rounding, so that exact ties fall one way in any order of summation.
-NUDGE = 1e-7
+NUDGE = val.NUDGE
 SCORING = {"G": 4.0, "A": 0.001}
 TYPES = {"ECONOMY": ["C"], "SMALL": ["LW"], "MEDIUM": ["RW"], "STANDARD": ["D"], "PROMO": ["G"], "LARGE": ["C", "LW"]}
 
@@ -63,12 +63,12 @@ def players(spark: SparkSession, sf_dir: str, before: str | None = None) -> Data
 def taken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that a purchase event names."""
     most = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 1
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 7 = 0")
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     return e.select((F.col("event_id") % most + 1).alias("player")).distinct()
 
 
 def board(spark: SparkSession, sf_dir: str, live: bool = False) -> DataFrame:
-    p = players(spark, sf_dir)
+    p = store(players(spark, sf_dir))
     slots = value.positional_slots(SLOTS, TEAMS)
     pool = value.live_pool(p, taken(spark, sf_dir)) if live else p
     return value.overall_rank(value.best_value(p, value.position_replacement(pool, slots)).withColumn("vorp", F.round("vorp", 4)))
@@ -112,7 +112,7 @@ players AS (
     SELECT player, round(coalesce(sum(CASE stat WHEN 'G' THEN value * 4.0::DOUBLE WHEN 'A' THEN value * 0.001::DOUBLE END), 0), 4) AS points
     FROM totals GROUP BY 1) t USING (player))"""
 _BASE = "WITH " + _LINES.format(where="")
-_TAKEN = "taken AS (SELECT DISTINCT event_id % (SELECT max(p_partkey) FROM part) + 1 AS player FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0)"
+_TAKEN = "taken AS (SELECT DISTINCT event_id % (SELECT max(p_partkey) FROM part) + 1 AS player FROM events WHERE event_type = 'purchase')"
 
 
 def _board_sql(pool: str) -> str:
@@ -233,9 +233,10 @@ def ref_gap_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(_BOARD + f", {_TAKEN}" + """, f AS (SELECT b.*, t.player IS NULL AS free FROM board b LEFT JOIN taken t USING (player)),
-nx AS (SELECT a.player, max(b.points) AS p FROM f a JOIN (SELECT DISTINCT best_pos, points FROM f WHERE free) b ON a.best_pos = b.best_pos AND b.points < a.points GROUP BY 1)
+el AS (SELECT unnest(pos) AS position, points, name, rank FROM f WHERE free),
+nx AS (SELECT a.player, max(b.points) AS p FROM f a JOIN (SELECT DISTINCT position, points FROM el) b ON a.best_pos = b.position AND b.points < a.points GROUP BY 1)
 SELECT f.player, round(coalesce(f.points - nx.p, 0.0), 4) AS drop_off,
-       coalesce((SELECT arg_min(x.name, x.rank) FROM f x WHERE x.free AND x.best_pos = f.best_pos AND x.points = nx.p), '') AS next_up FROM f LEFT JOIN nx USING (player)""")
+       coalesce((SELECT arg_min(x.name, x.rank) FROM el x WHERE x.position = f.best_pos AND x.points = nx.p), '') AS next_up FROM f LEFT JOIN nx USING (player)""")
 def ref_drop_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value.drop_off(board(spark, sf_dir), taken(spark, sf_dir)).withColumn("drop_off", F.round("drop_off", 4))
 
@@ -260,6 +261,78 @@ def ref_percentile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.percentile_bands(parts(spark, sf_dir), "price", "band").select("player", "band")
 
 
+_FULL = _BASE + """, gone AS ({gone}),
+who AS (SELECT player, name, size, CASE WHEN size % 10 = 0 THEN ['LW', 'RW'] WHEN size % 10 = 1 THEN ['D', 'C'] ELSE pos END AS pos, (player % 9 - 4)::INT AS adjustment FROM parts),
+games AS (SELECT player, value AS gp FROM totals WHERE stat = 'GP'),
+moved AS (SELECT t.player, t.stat, t.value, CASE WHEN w.adjustment <> 0 AND t.stat = CASE WHEN list_contains(w.pos, 'G') THEN 'A' ELSE 'G' END
+            THEN t.value * (1 + sign(w.adjustment) * [0.05, 0.10, 0.20][least(abs(w.adjustment), 3)]::DOUBLE) ELSE t.value END AS v FROM totals t JOIN who w USING (player)),
+pts AS (SELECT player, sum(CASE stat WHEN 'G' THEN value * 4.0::DOUBLE WHEN 'A' THEN value * 0.001::DOUBLE END) AS b, sum(CASE stat WHEN 'G' THEN v * 4.0::DOUBLE WHEN 'A' THEN v * 0.001::DOUBLE END) AS p FROM moved GROUP BY 1),
+players2 AS (SELECT w.*, g.gp, round(coalesce(p.p, 0.0) + 1e-7, 4) AS points, round(coalesce(p.p, 0.0) - coalesce(p.b, 0.0) + 1e-7, 4) AS delta FROM who w JOIN games g USING (player) LEFT JOIN pts p USING (player) WHERE g.gp >= 1.2),
+used AS (SELECT count(*) FILTER (k = 'F') AS f, count(*) FILTER (k = 'D') AS d, count(*) FILTER (k = 'G') AS g FROM (SELECT CASE WHEN list_contains(pos, 'G') THEN 'G' WHEN list_contains(pos, 'D') THEN 'D' ELSE 'F' END AS k FROM players2 WHERE player IN (SELECT player FROM gone))),
+pool AS (SELECT * FROM players2 WHERE player NOT IN (SELECT player FROM gone)),
+front AS (SELECT pos, row_number() OVER (ORDER BY points DESC, player) AS n FROM pool WHERE list_has_any(pos, ['C', 'LW', 'RW'])),
+top AS (SELECT pos FROM front, used WHERE n <= greatest(104 - f, 0)),
+demand AS (SELECT 'C' AS position, 0 AS o, count(*) FILTER (list_contains(pos, 'C')) + 1 AS k FROM top UNION ALL SELECT 'LW', 1, count(*) FILTER (list_contains(pos, 'LW')) + 1 FROM top
+      UNION ALL SELECT 'RW', 2, count(*) FILTER (list_contains(pos, 'RW')) + 1 FROM top UNION ALL SELECT 'D', 3, greatest(56 - d, 0) + 1 FROM used UNION ALL SELECT 'G', 4, greatest(32 - g, 0) + 1 FROM used),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY points DESC) AS rn FROM (SELECT points, unnest(pos) AS position FROM pool)),
+levels AS (SELECT d.position, d.o, coalesce(min(points), 0.0) AS level, count(points) AS depth FROM demand d LEFT JOIN numbered n ON n.position = d.position AND rn <= k GROUP BY 1, 2),
+e AS (SELECT player, points, name, unnest(pos) AS position FROM players2),
+picked AS (SELECT player, position AS best_pos, points - level AS v, row_number() OVER (PARTITION BY player ORDER BY points - level DESC, o) AS rn FROM e JOIN levels USING (position)),
+valued AS (SELECT p.*, round(coalesce(x.v, p.points), 4) AS vorp, x.best_pos FROM players2 p LEFT JOIN picked x ON x.player = p.player AND x.rn = 1),
+board AS (SELECT *, row_number() OVER (ORDER BY vorp DESC, player) AS rank FROM valued),
+pn AS (SELECT player, position, row_number() OVER (PARTITION BY position ORDER BY points DESC, player) AS rn FROM e),
+lab AS (SELECT player, string_agg(CASE position WHEN 'LW' THEN 'L' WHEN 'RW' THEN 'R' ELSE position END || rn, ' ' ORDER BY list_position(['C', 'LW', 'RW', 'D', 'G'], position)) AS label FROM pn GROUP BY 1),
+el AS (SELECT e.position, e.points, e.name, b.rank FROM e JOIN board b USING (player) WHERE player NOT IN (SELECT player FROM gone)),
+nx AS (SELECT a.player, max(b.points) AS p FROM board a JOIN (SELECT DISTINCT position, points FROM el) b ON a.best_pos = b.position AND b.points < a.points GROUP BY 1),
+up AS (SELECT position, points, arg_min(name, rank) AS name FROM el GROUP BY 1, 2),
+g AS (SELECT *, lag(vorp) OVER (PARTITION BY best_pos ORDER BY vorp DESC, player) - vorp AS gap, row_number() OVER (PARTITION BY best_pos ORDER BY vorp DESC, player) AS n FROM board),
+smp AS (SELECT best_pos, gap FROM g LEFT JOIN levels l ON l.position = g.best_pos WHERE gap IS NOT NULL AND (coalesce(l.depth, 0) <= 0 OR n - 1 <= greatest(l.depth, 2))),
+med AS (SELECT best_pos, list_sort(list(gap))[(count(*) // 2) + 1] AS m FROM smp GROUP BY 1),
+mad AS (SELECT s.best_pos, any_value(m) AS m, 1.4826 * list_sort(list(abs(gap - m)))[(count(*) // 2) + 1] AS s FROM smp s JOIN med ON med.best_pos IS NOT DISTINCT FROM s.best_pos GROUP BY 1),
+thr AS (SELECT best_pos, m + CASE WHEN s <> 0 THEN s WHEN m <> 0 THEN m ELSE 1.0 END AS t FROM mad),
+tier AS (SELECT player, round(gap, 4) AS gap, 1 + coalesce(sum(CASE WHEN gap > t THEN 1 ELSE 0 END) OVER (PARTITION BY g.best_pos ORDER BY vorp DESC, player), 0)::BIGINT AS tier FROM g LEFT JOIN thr ON thr.best_pos IS NOT DISTINCT FROM g.best_pos)
+SELECT b.rank, b.player, b.points, b.delta, round(b.gp, 6) AS gp, b.vorp, b.best_pos, coalesce(lab.label, '') AS label, round(coalesce(b.points - nx.p, 0.0), 4) AS drop_off, coalesce(up.name, '') AS next_up, tier.gap, tier.tier
+FROM board b LEFT JOIN lab USING (player) LEFT JOIN nx USING (player) LEFT JOIN up ON up.position = b.best_pos AND up.points = nx.p JOIN tier USING (player)"""
+
+
+def _rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two providers: ``P`` rules parts of sizes that end in 0 or 1 otherwise, ``Q`` all as goalies."""
+    p = parts(spark, sf_dir)
+    ruled = F.when(F.col("size") % 10 == 0, F.array(F.lit("LW"), F.lit("RW"))).when(F.col("size") % 10 == 1, F.array(F.lit("D"), F.lit("C")))
+    one = p.select(F.col("player").alias("key"), F.lit("P").alias("provider"), ruled.alias("positions")).where("positions is not null")
+    return one.unionByName(p.select(F.col("player").alias("key"), F.lit("Q").alias("provider"), F.array(F.lit("G")).alias("positions")))
+
+
+def _valued(spark: SparkSession, sf_dir: str, live: bool) -> val.Valuation:
+    s = val.Settings(SCORING, SLOTS, TEAMS, minimum_games=1.2, provider="P", skater_stats=("G",), goalie_stats=("A",), dynamic=live)
+    p = parts(spark, sf_dir)
+    levels = p.select("player", (F.col("player") % 9 - 4).cast("int").alias("level"))
+    return val.valuation(p, stat_lines(spark, sf_dir), weights(spark, sf_dir), s, _rulings(spark, sf_dir), levels, taken(spark, sf_dir) if live else None)
+
+
+def _full(v: val.Valuation) -> DataFrame:
+    return v.board.select("rank", "player", "points", "delta", F.round("gp", 6).alias("gp"), "vorp", "best_pos", F.coalesce("label", F.lit("")).alias("label"), "drop_off", "next_up", "gap", "tier")
+
+
+@_query(_FULL.format(gone="SELECT -1 AS player WHERE false"))
+def ref_full_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole valuation: minimum of games, ruled positions, adjustments, draft replacement, labels, drop-off and tiers."""
+    return _full(_valued(spark, sf_dir, False))
+
+
+@_query(_FULL.format(gone=_TAKEN.removeprefix("taken AS (").removesuffix(")")))
+def ref_live_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same while players are taken: the pool and the demand shrink together."""
+    return _full(_valued(spark, sf_dir, True))
+
+
+@_query(_FULL.format(gone=_TAKEN.removeprefix("taken AS (").removesuffix(")")).rsplit("SELECT b.rank", 1)[0] + "SELECT f, d, g, greatest(12 * 16 - (f + d + g), 1) AS spots FROM used")
+def ref_remaining_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taken players by group, and the roster spots left."""
+    v = _valued(spark, sf_dir, True)
+    return spark.range(1).select(*[F.lit(v.consumed[g]).cast("long").alias(g.lower()) for g in ("F", "D", "G")], F.lit(v.spots).cast("long").alias("spots"))
+
+
 _EARLY = "l_shipdate < TIMESTAMP '1998-01-01'"
 
 
@@ -311,13 +384,13 @@ def ref_mean_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blend.mean_of_parts(a, two).withColumn("value", F.round("value", 6))
 
 
-@_query(_BASE + """, a AS (SELECT player AS key, size AS age FROM parts), l AS (SELECT player AS key, size + (player % 4) - 1 AS age FROM parts WHERE player % 3 = 0),
+@_query(_BASE + """, a AS (SELECT player AS key, size AS age FROM parts), l AS (SELECT player AS key, size + (player % 4) - 1 AS age FROM parts),
 b AS (SELECT key, CASE WHEN key % 6 = 0 THEN NULL ELSE age END AS age FROM a)
 SELECT b.key, (CASE WHEN l.age IS NOT NULL AND (b.age IS NULL OR abs(b.age - l.age) <= 1) THEN l.age ELSE b.age END)::DOUBLE AS age,
        (CASE WHEN l.age IS NOT NULL AND NOT (b.age IS NULL OR abs(b.age - l.age) <= 1) THEN l.age END)::DOUBLE AS rejected FROM b LEFT JOIN l USING (key)""")
 def ref_age_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir).select(F.col("player").alias("key"), F.col("size").cast("double").alias("age"))
-    listed = p.where("key % 3 = 0").select("key", (F.col("age") + F.col("key") % 4 - 1).alias("age"))
+    listed = p.select("key", (F.col("age") + F.col("key") % 4 - 1).alias("age"))
     return metrics.overlay_ages(p.withColumn("age", F.when(F.col("key") % 6 != 0, F.col("age"))), listed)
 
 
@@ -344,8 +417,8 @@ def ref_ruling_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 SELECT row_id, team, age, gp FROM (
-  SELECT row_id, listing_id, team, age, stats['GP'] AS gp, row_number() OVER (PARTITION BY listing_id ORDER BY CASE WHEN upper(trim(team)) SIMILAR TO '[0-9]+TM' THEN 0 ELSE 1 END,
-         CASE WHEN upper(trim(team)) SIMILAR TO '[0-9]+TM' THEN 0.0 ELSE -coalesce(stats['GP'], '-infinity'::DOUBLE) END, row_id) AS rn FROM source_row) WHERE rn = 1""")
+  SELECT row_id, listing_id, team, age, stats['GP'] AS gp, row_number() OVER (PARTITION BY listing_id ORDER BY CASE WHEN upper(team) SIMILAR TO '[0-9]+TM' THEN 0 ELSE 1 END,
+         CASE WHEN upper(team) SIMILAR TO '[0-9]+TM' THEN 0.0 ELSE -coalesce(stats['GP'], '-infinity'::DOUBLE) END, row_id) AS rn FROM source_row) WHERE rn = 1""")
 def ref_prefer_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "source_row").select("row_id", "listing_id", "team", "age", F.try_element_at("stats", F.lit("GP")).alias("gp"))
     return identity.prefer_aggregate(r, "listing_id", "team", "gp", "row_id").select("row_id", "team", "age", "gp")
@@ -373,10 +446,10 @@ def ref_search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.text_search(metrics.with_position(board(spark, sf_dir), ["F"]), " Bolt ", ("name",)).select("player", "rank")
 
 
-@_query(_BOARD + ", r AS (SELECT player AS key, rank FROM board), f AS (SELECT player AS key, (player * 7) % 500 AS rank FROM parts WHERE player % 10 = 0 UNION ALL SELECT -1, 1) SELECT count(*) AS n, count(*) FILTER (r.rank IS NULL) AS missing, round(avg(abs(r.rank - f.rank)), 6) AS mean_apart, max(abs(r.rank - f.rank)) AS max_apart FROM f LEFT JOIN r USING (key)")
+@_query(_BOARD + ", r AS (SELECT player AS key, rank FROM board), f AS (SELECT player AS key, (player * 7) % 500 AS rank FROM parts UNION ALL SELECT -1, 1) SELECT count(*) AS n, count(*) FILTER (r.rank IS NULL) AS missing, round(avg(abs(r.rank - f.rank)), 6) AS mean_apart, max(abs(r.rank - f.rank)) AS max_apart FROM f LEFT JOIN r USING (key)")
 def ref_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = board(spark, sf_dir).select(F.col("player").alias("key"), "rank")
-    want = parts(spark, sf_dir).where("player % 10 = 0").select(F.col("player").alias("key"), (F.col("player") * 7 % 500).alias("rank"))
+    want = parts(spark, sf_dir).select(F.col("player").alias("key"), (F.col("player") * 7 % 500).alias("rank"))
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(1).cast("long").alias("rank"))
     return identity.rank_check(b, want.unionByName(extra)).withColumn("mean_apart", F.round("mean_apart", 6))
 
@@ -470,12 +543,12 @@ def ref_interchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH b AS (SELECT lower(p_name) AS n, max(p_partkey) AS player FROM part GROUP BY 1), s AS (SELECT upper(p_name) || CASE WHEN p_partkey % 5 = 0 THEN '?' ELSE '' END AS name, p_partkey AS mark FROM part WHERE p_partkey % 7 = 0)
+WITH b AS (SELECT lower(p_name) AS n, max(p_partkey) AS player FROM part GROUP BY 1), s AS (SELECT upper(p_name) || CASE WHEN p_partkey % 5 = 0 THEN '?' ELSE '' END AS name, p_partkey AS mark FROM part)
 SELECT s.name, s.mark, b.player FROM s JOIN b ON b.n = lower(s.name)""")
 def ref_name_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
     end = F.when(F.col("player") % 5 == 0, "?").otherwise("")
-    state = p.where("player % 7 = 0").select(F.concat(F.upper("name"), end).alias("name"), F.col("player").alias("mark"))
+    state = p.select(F.concat(F.upper("name"), end).alias("name"), F.col("player").alias("mark"))
     return bd.by_name(p, state)[0].select("name", "mark", "player")
 
 

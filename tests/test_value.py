@@ -3,6 +3,7 @@
 import pytest
 
 from slatework.operators import blend, metrics, score, value
+from slatework.plans import valuation
 
 LINES = [(1, "S1", "GP", 80.0), (1, "S1", "G", 40.0), (1, "S1", "A", 40.0), (1, "S2", "GP", 100.0), (1, "S2", "G", 50.0), (2, "S1", "GP", 82.0), (2, "S1", "G", 30.0), (2, "S1", "A", 30.0)]
 
@@ -122,7 +123,7 @@ def test_gap_tiers_window(spark):
 
 
 def test_drop_off(spark):
-    p = spark.createDataFrame([(i, f"G{i}", 300.0 - 8 * i, "G", i + 1) for i in range(6)] + [(9, "tie", 260.0, "G", 7)], "player long, name string, points double, best_pos string, rank long")
+    p = spark.createDataFrame([(i, f"G{i}", 300.0 - 8 * i, ["G"], "G", i + 1) for i in range(6)] + [(9, "tie", 260.0, ["G"], "G", 7)], "player long, name string, points double, pos array<string>, best_pos string, rank long")
     got = {r["player"]: (r["drop_off"], r["next_up"]) for r in value.drop_off(p).collect()}
     assert got[0] == (8, "G1")
     assert got[5] == (0, "")
@@ -131,6 +132,38 @@ def test_drop_off(spark):
     assert {r["player"]: (r["drop_off"], r["next_up"]) for r in value.drop_off(p, gone).collect()}[0] == (32, "G4")
 
 
+def test_drop_off_counts_all_who_may_play_the_position(spark):
+    """The next centre is better placed as a wing, but may still play centre."""
+    rows = [(1, "a", 10.0, ["C"], "C", 1), (2, "b", 8.0, ["C", "LW"], "LW", 2), (3, "c", 5.0, ["C"], "C", 3), (4, "d", 1.0, [], None, 4)]
+    p = spark.createDataFrame(rows, "player long, name string, points double, pos array<string>, best_pos string, rank long")
+    assert {r["player"]: (r["drop_off"], r["next_up"]) for r in value.drop_off(p).collect()} == {1: (2, "b"), 2: (0, ""), 3: (0, ""), 4: (0, "")}
+
+
+def test_consumed_and_spots(spark):
+    p = spark.createDataFrame([(1, ["C", "D"]), (2, ["G", "C"]), (3, ["LW"]), (4, []), (5, ["D"])], "player long, pos array<string>")
+    gone = spark.createDataFrame([(1,), (2,), (3,), (3,), (99,)], "player long")
+    used = value.consumed_counts(p, gone)
+    assert used == {"F": 1, "D": 1, "G": 1}
+    assert value.remaining_spots({"C": 2, "BN": 1}, 4, sum(used.values())) == 9
+    assert value.remaining_spots({"C": 1}, 1, 5) == 1
+    assert value.consumed_counts(p.limit(0), gone) == {"F": 0, "D": 0, "G": 0}
+
+
+def test_valuation(spark):
+    """Last season is one source as it was; unusable settings fall back."""
+    players = spark.createDataFrame([(1, "a", ["C"]), (2, "b", ["C"]), (3, "c", ["G"]), (4, "d", [])], "player long, name string, pos array<string>")
+    lines = spark.createDataFrame([(i, s, k, float(v if s == "S" else 100 - v)) for i, v in ((1, 10), (2, 20), (3, 30)) for s in ("S", "ACT") for k in ("GP", "G")], "player long, source string, stat string, value double")
+    weights = spark.createDataFrame([("S", 1.0)], "source string, weight double")
+    s = valuation.Settings({"G": 1.0, "A": float("nan")}, {"C": 1, "G": float("inf")}, teams=1, minimum_games=float("nan"))
+    v = valuation.valuation(players, lines, weights, s)
+    assert [(r["player"], r["points"], r["vorp"]) for r in v.board.orderBy("rank").collect()] == [(2, 20.0, 10.0), (1, 10.0, 0.0), (3, 30.0, 0.0), (4, 0.0, 0.0)]
+    assert v.spots == 1
+    last = valuation.history(players, lines, s, "ACT").board
+    got = {r["player"]: (r["last_points"], r["last_gp"]) for r in valuation.with_last_season(v.board, last).collect()}
+    assert got == {1: (90.0, 90.0), 2: (80.0, 80.0), 3: (70.0, 70.0), 4: (None, None)}
+    assert valuation.valuation(players.limit(0), lines, weights, s).board.count() == 0
+
+
 def test_adjust(spark):
     lines = spark.createDataFrame([(1, "W", 30.0), (1, "GA", 150.0), (1, "HIT", 9.0)], "player long, stat string, value double")
     level = spark.createDataFrame([(1, 3)], "player long, level int")
