@@ -75,3 +75,21 @@ def fill_slots(picks: DataFrame, slots: dict[str, int], accepts: dict[str, list[
         return pd.DataFrame(out, columns=["owner", "player", "slot"])
 
     return picks.select("owner", "player", "vorp", "pos").groupBy("owner").applyInPandas(fill, "owner string, player long, slot string")
+
+
+def saved_state(board: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``player`` and the state's other columns, names that the board lacks) of saved rows ``version, ref, ...``.
+
+    From version 2 on ``ref`` is a name, whatever its case; in version 1 it is the player's number, taken as it is.
+    Rows of an unreadable number or of no version fall out.
+    """
+    rest = [c for c in state.columns if c not in ("version", "ref")]
+    named, missing = by_name(board, state.where("version >= 2").withColumnRenamed("ref", "name"))
+    old = state.where("version < 2").withColumn("player", F.expr("try_cast(ref as bigint)")).join(board.select("player"), "player", "left_semi")
+    return named.select("player", *rest).unionByName(old.select("player", *rest)), missing
+
+
+def save_state(board: DataFrame, state: DataFrame) -> DataFrame:
+    """``version, ref, ...``: the state of players by name, as version 2 keeps it."""
+    rest = [c for c in state.columns if c != "player"]
+    return state.join(board.select("player", F.col("name").alias("ref")), "player").select(F.lit(2).alias("version"), "ref", *rest)

@@ -125,3 +125,26 @@ def history_join(ranked: DataFrame, last: DataFrame, order: str = "rank") -> Dat
     """``ranked`` with ``last_rank`` and ``last_points``; of repeated keys the first counts."""
     one = last.groupBy("key").agg(F.min_by(F.struct("rank", "points"), order).alias("_h"))
     return ranked.join(one, "key", "left").select(*ranked.columns, F.col("_h.rank").alias("last_rank"), F.col("_h.points").alias("last_points"))
+
+
+def pick_of(players: DataFrame, provider: str | None, name: str = "pick") -> DataFrame:
+    """``players`` (with the map ``picks``) with one provider's pick; null without a provider or a pick of its own."""
+    return players.withColumn(name, F.try_element_at("picks", F.lit(provider)) if provider else F.lit(None).cast("double"))
+
+
+def provider_counts(players: DataFrame, rulings: DataFrame) -> DataFrame:
+    """``provider, players, differs``: the keys each provider rules on, and the players it sees otherwise, order included."""
+    own = players.select("key", "pos")
+    j = rulings.join(own, "key", "left")
+    return j.groupBy("provider").agg(F.countDistinct("key").alias("players"), F.count_if(F.col("pos").isNotNull() & ~F.col("positions").eqNullSafe(F.col("pos"))).alias("differs"))
+
+
+def hide_taken(ranked: DataFrame, taken: DataFrame, view: str = "") -> DataFrame:
+    """``ranked`` without the taken players, but for the views ``taken`` and ``mine``, which are about them."""
+    return ranked if view in ("taken", "mine") else ranked.join(taken.select("player"), "player", "left_anti")
+
+
+def first_free_match(ranked: DataFrame, taken: DataFrame, query: str) -> DataFrame:
+    """The best ranked free player that a search finds: one row, or none, also for an empty query."""
+    hits = text_search(ranked, query) if query.strip() else ranked.limit(0)
+    return hide_taken(hits, taken).orderBy("rank").limit(1)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import os
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.functions.scalars import name_key, parse_number, parse_positions, truthy
-from slatework.operators.metrics import first_pick
+from slatework.functions.scalars import finite_or, name_key, parse_number, parse_positions, truthy
+from slatework.operators.metrics import first_pick, last_pick
+from slatework.session import discard, store
+from slatework.sources.sheets import SCHEMA, SheetsDataSource
 
 IDENTITY = ("name", "team", "pos", "age")
 
@@ -32,6 +35,10 @@ class SourceSpec:
     per_game: tuple[str, ...] = ()
     derived: dict[str, tuple[str, ...]] = field(default_factory=dict)
     rename: tuple[tuple[str, str, str], ...] = ()
+    sheet: str = "main"
+    #: A sheet of goalies with a mapping of its own (``goalie_columns``, else ``columns``) and its own heading line.
+    goalie_sheet: str = ""
+    goalie_header_row: int = 0
 
     @staticmethod
     def load(path: str, known: set[str] | None = None) -> list[SourceSpec]:
@@ -119,6 +126,85 @@ def read_source(cells: DataFrame, spec: SourceSpec) -> DataFrame:
     return out.where(F.size("stats") > 0)
 
 
+def read_sheets(cells: DataFrame, spec: SourceSpec) -> DataFrame:
+    """``read_source`` of ``sheet, row_no, cells``: the main sheet, and the sheet of goalies where the specification names one.
+
+    With a sheet of goalies the main one has no goalie columns to overlay.
+    """
+    of = lambda name: cells.where(F.col("sheet") == name).select("row_no", "cells")
+    if not spec.goalie_sheet:
+        return read_source(of(spec.sheet), spec)
+    main = read_source(of(spec.sheet), replace(spec, goalie_columns={}))
+    own = replace(spec, columns=spec.goalie_columns or spec.columns, goalie_columns={}, header_row=spec.goalie_header_row or spec.header_row)
+    return main.unionByName(read_source(of(spec.goalie_sheet), own))
+
+
+def read_pick_sheets(sheets: list[DataFrame], columns: dict[str, int], name_col: int = 1, first_row: int = 2) -> DataFrame:
+    """``key, provider, value`` of several sheets ``row_no, cells`` that each hold a column per provider; later sheets and rows overwrite."""
+    each = []
+    for i, s in enumerate(sheets):
+        for provider, col in columns.items():
+            row = s.where(F.col("row_no") >= first_row).select(name_key(cell(name_col)).alias("key"), F.lit(provider).alias("provider"), parse_number(cell(col)).alias("value"), F.lit(i).alias("ord"), "row_no")
+            each.append(row.where("key is not null and key != '' and value is not null"))
+    return last_pick(reduce(DataFrame.unionByName, each))
+
+
+def _is_data(first: Column) -> Column:
+    """Whether a line of a list is neither blank, nor a comment, nor its heading."""
+    t = F.lower(F.trim(F.coalesce(first, F.lit(""))))
+    return (t != "") & ~t.startswith("#") & ~t.isin("name", "player", "alias")
+
+
+def read_ages(cells: DataFrame) -> DataFrame:
+    """``key, age``: a name and an age, rounded half even to a whole number; unreadable ones fall out, the last row of a name counts."""
+    age = F.bround(parse_number(cell(2), lenient=False), 0).cast("int")
+    rows = cells.where(_is_data(cell(1))).select(name_key(cell(1)).alias("key"), age.alias("age"), "row_no").where("key != '' and age is not null")
+    return rows.groupBy("key").agg(F.max_by("age", "row_no").alias("age"))
+
+
+def read_aliases(cells: DataFrame) -> DataFrame:
+    """``alias, canonical`` as name keys; comments, blank lines and headings are no aliases."""
+    rows = cells.where(_is_data(cell(1))).select(name_key(cell(1)).alias("alias"), name_key(cell(2)).alias("canonical"))
+    return rows.where("alias != '' and canonical != ''")
+
+
+def reference_list(cells: DataFrame, name_col: int, pos_col: int, age_col: int) -> DataFrame:
+    """``key, positions, age`` of a workbook list; the first row of a name counts, nameless rows fall out."""
+    rows = cells.select(name_key(cell(name_col)).alias("key"), parse_positions(cell(pos_col)).alias("positions"), F.bround(parse_number(cell(age_col)), 0).cast("int").alias("age"), "row_no")
+    return rows.where("key is not null and key != ''").groupBy("key").agg(F.min_by("positions", "row_no").alias("positions"), F.min_by("age", "row_no").alias("age"))
+
+
+def load_settings(path: str, defaults: dict) -> dict:
+    """Settings from a JSON object over ``defaults``; numbers that aren't finite fall back. Raises SpecError for an unreadable file or unknown keys."""
+    try:
+        raw = json.loads(Path(path).read_text(encoding="utf-8-sig"))
+    except (OSError, ValueError) as e:
+        raise SpecError(f"{path}: {e}") from e
+    if not isinstance(raw, dict) or set(raw) - set(defaults):
+        raise SpecError(f"{path}: unknown settings {sorted(set(raw) - set(defaults)) if isinstance(raw, dict) else type(raw).__name__}")
+    number = lambda v: isinstance(v, int | float) and not isinstance(v, bool)
+    return {k: finite_or(raw.get(k, d), d) if number(d) else raw.get(k, d) for k, d in defaults.items()}
+
+
+_read: dict[tuple, DataFrame] = {}
+
+
+def load_rows(spark: SparkSession, path: str, sheet: str | None = None, max_col: int | None = None) -> DataFrame:
+    """``file, sheet, row_no, cells`` of a file, read once per session, sheet and width for as long as its time and size stay; empty if it is missing."""
+    if not os.path.exists(path):
+        return spark.createDataFrame([], SCHEMA)
+    at = os.stat(path)
+    key = (id(spark), path, sheet, at.st_mtime_ns, at.st_size, max_col)
+    if key not in _read:
+        for old in [k for k in _read if k[:3] == key[:3] and k[5] == max_col]:
+            discard(_read.pop(old))
+        spark.dataSource.register(SheetsDataSource)
+        reader = spark.read.format("sheets").option("path", path)
+        reader = reader if sheet is None else reader.option("sheet", sheet)
+        _read[key] = store((reader if max_col is None else reader.option("max_col", max_col)).load())
+    return _read[key]
+
+
 def read_picks(cells: DataFrame, provider: str, ord_: int, name_col: int = 1, value_col: int = 2) -> DataFrame:
     """``key, provider, value``: a name and number list; comment, heading and unreadable rows fall out."""
     v = parse_number(cell(value_col), lenient=False)

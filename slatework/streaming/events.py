@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slatework.operators.ordering import range_sorted
+
+#: Events of a key that are folded at a time.
+FOLD = 4096
+
 
 def event_stream(spark: SparkSession, path: str, pattern: str = "events*.parquet", watermark: str = "1 hour") -> DataFrame:
     """The event files of a folder as a stream, timestamps with zone and watermark."""
@@ -42,15 +47,58 @@ def toggled(events: DataFrame, key: str, toggle: str, on: str, off: str) -> Data
     return last.join(flips, key, "left").select(key, (F.coalesce("_on", F.lit(False)) != odd).alias("state"))
 
 
+def fold_states(events: DataFrame, key: str, steps: Column, states: int, start: int = 0) -> DataFrame:
+    """``key, state``: a machine of a few states after all events of a key, in the order of ``ts, event_id``.
+
+    ``steps``: per event an array with the next state for each of the states ``0 .. states - 1``; null changes nothing. Such
+    maps compose in order, so that runs of events fold apart: range partitions split a key with very many events, each
+    part becomes one map, and only these meet.
+    """
+    each = events.select(F.col(key).alias("_k"), "ts", "event_id", steps.alias("_m")).where(F.col("_m").isNotNull())
+    sorted_ = range_sorted(each, [F.col("_k").asc_nulls_first(), F.col("ts").asc(), F.col("event_id").asc()])
+
+    def compose(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        same = F.array(*[F.lit(i) for i in range(states)])
+        maps = F.transform(F.array_sort(F.collect_list(F.struct(order, "_m"))), lambda x: x["_m"])
+        return rows.groupBy(*by).agg(F.aggregate(maps, same, lambda a, m: F.transform(a, lambda s: F.element_at(m, s + 1))).alias("_m"))
+
+    # Blocks bound what is collected within a partition.
+    blocks = compose(sorted_.withColumn("_b", F.floor(F.col("_seq") / FOLD)), ["_k", "_pid", "_b"], "_seq")
+    parts = compose(blocks, ["_k", "_pid"], "_b")
+    return compose(parts, ["_k"], "_pid").select(F.col("_k").alias(key), F.element_at("_m", start + 1).alias("state"))
+
+
 def clamped_levels(events: DataFrame, key: str, step: Column, most: int = 3) -> DataFrame:
-    """``key, level``: steps of +1 and -1 in order, never beyond ``most`` either way.
+    """``key, level``: steps of +1 and -1 in order, never beyond ``most`` either way. Keys without a step have no row."""
+    n = 2 * most + 1
+    move = F.array(*[F.least(F.lit(n - 1), F.greatest(F.lit(0), F.lit(s) + step.cast("int"))) for s in range(n)])
+    out = fold_states(events, key, F.when(step.isNotNull() & (step != 0), move), n, most)
+    return out.select(key, (F.col("state") - most).alias("level"))
+
 
-    Clamped walks compose: each event is the map ``x -> min(hi, max(lo, x + d))`` and so is every run of them,
-    so a key's events fold as an ordered array in one expression.
+def drafted_state(events: DataFrame, key: str, draft: str, mine: str) -> DataFrame:
+    """``key, drafted, mine`` after all events: ``draft`` takes a player or, taken, frees them; ``mine`` takes them for oneself or, one's own, frees them.
+
+    One's own players are drafted, and who is freed is no longer one's own.
     """
-    steps = events.where(step.isNotNull() & (step != 0)).select(key, F.struct("ts", "event_id", step.cast("int").alias("d")).alias("e"))
-    folded = F.aggregate(F.array_sort(F.collect_list("e")), F.lit(0), lambda x, e: F.least(F.lit(most), F.greatest(F.lit(-most), x + e["d"])))
-    return steps.groupBy(key).agg(folded.alias("level"))
+    free, drafted, own = 0, 1, 2
+    of = {draft: [drafted, free, free], mine: [own, own, free]}
+    steps = F.create_map(*[x for k, to in of.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in to]))])[F.col("event_type")]
+    out = fold_states(events, key, steps, 3)
+    return out.select(key, (F.col("state") > free).alias("drafted"), (F.col("state") == own).alias("mine"))
+
+
+def exclusive_marks(events: DataFrame, key: str, marks: list[str]) -> DataFrame:
+    """``key, mark`` after all events: a mark replaces any other and, set again, is taken off; null for none."""
+    n = len(marks) + 1
+    steps = F.create_map(*[x for i, m in enumerate(marks, 1) for x in (F.lit(m), F.array(*[F.lit(0 if s == i else i) for s in range(n)]))])[F.col("event_type")]
+    out = fold_states(events, key, steps, n)
+    return out.select(key, F.when(F.col("state") > 0, F.element_at(F.array(*[F.lit(m) for m in marks]), F.col("state"))).alias("mark"))
+
+
+def coalesced(stream: DataFrame, update, interval: str = "260 milliseconds"):
+    """Starts a query that hands every trigger's events to ``update(batch, batch_id)`` at once, so that a burst is recomputed once."""
+    return stream.writeStream.trigger(processingTime=interval).foreachBatch(update).start()
 
 
 STATE = T.StructType([T.StructField("on", T.BooleanType()), T.StructField("n", T.LongType())])
