@@ -1,6 +1,6 @@
 """Schemas that drift between the files of one edition.
 
-Each mapping gets a fingerprint; only files whose fingerprint differs from their predecessor's are
+Each mapping gets a fingerprint and, within its edition, a version number; only files whose fingerprint differs from their predecessor's are
 compared key by key. Every change is a migration step (added, removed, renamed, type). Chained
 rename steps lead each file's key back to the name its column had when it first appeared, and the
 rows of all files are routed through rename, default and cast rules into one table.
@@ -8,12 +8,12 @@ rows of all files are routed through rename, default and cast rules into one tab
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatework.functions.scalars import parse_number, parse_positions
-from slatework.operators.ordering import previous_row
-from slatework.session import cut
+from slatework.operators.ordering import previous_row, running
+from slatework.session import store
 
 SECTIONS = ("columns", "goalie_columns")
 #: Sheet whose cells each mapping describes.
@@ -29,10 +29,10 @@ def heading_key(c: Column) -> Column:
 
 
 def mapping_entries(text: Column) -> Column:
-    """``map<key, struct<kind, col, head>>`` of a JSON object text.
+    """``map<key, struct<kind, col, head, text>>`` of a JSON object text.
 
     ``kind`` is ``number``, ``string`` or ``other``; ``col`` is the column number, also of one
-    written as a string; ``head`` is the comparable heading of any other string. Null, blank and
+    written as a string; ``head`` is the comparable heading of any other string and ``text`` that of every one. Null, blank and
     unreadable texts are an empty mapping; a byte order mark is ignored; of a repeated key the last
     value counts.
     """
@@ -51,6 +51,7 @@ def mapping_entries(text: Column) -> Column:
                 F.when(number, "number").when(kind == "STRING", "string").otherwise("other").alias("kind"),
                 col.alias("col"),
                 F.when((kind == "STRING") & ~digits, heading_key(s)).alias("head"),
+                F.when(kind == "STRING", heading_key(s)).alias("text"),
             ).alias("value"),
         )
 
@@ -82,7 +83,9 @@ def _steps(prev: Column, cur: Column) -> Column:
     renamed = F.transform(F.filter(new, lambda k: F.size(origin(k)) > 0), lambda k: step(k, "renamed", F.array_min(origin(k))))
     added = F.transform(F.filter(new, lambda k: F.size(origin(k)) == 0), lambda k: step(k, "added", F.lit(None)))
     removed = F.transform(F.filter(gone, lambda g: ~F.exists(new, lambda k: same(prev[g], cur[k]))), lambda g: step(g, "removed", g))
-    heading = F.transform(F.filter(kept, lambda k: F.coalesce(prev[k]["head"] != cur[k]["head"], F.lit(False))), lambda k: step(k, "renamed", k))
+    # Of two texts only those that are both column numbers are no headings.
+    other = lambda a, b: F.coalesce((a["text"] != b["text"]) & ~(a["col"].isNotNull() & b["col"].isNotNull()), F.lit(False))
+    heading = F.transform(F.filter(kept, lambda k: other(prev[k], cur[k])), lambda k: step(k, "renamed", k))
     kinds = lambda k, a, b: (prev[k]["kind"] == a) & (cur[k]["kind"] == b)
     typed = F.transform(F.filter(kept, lambda k: kinds(k, "number", "string") | kinds(k, "string", "number")), lambda k: step(k, "type", k))
     return F.concat(renamed, added, removed, heading, typed)
@@ -113,14 +116,16 @@ def schema_changes(files: DataFrame) -> DataFrame:
 def schema_versions(files: DataFrame) -> DataFrame:
     """The version number of each file's schema: 1 + the changes of fingerprint so far in its edition.
 
-    Output: ``file_id, edition, section, fingerprint, n_fields``.
+    Output: ``file_id, edition, section, version, fingerprint, n_fields``. Order and predecessor as in ``schema_changes``.
     """
     base = _canonical(files.select("file_id", "edition", "published_at", *SECTIONS).dropDuplicates())
-    parts = [
-        base.select("file_id", "edition", F.lit(s).alias("section"), F.col(f"f_{s}").alias("fingerprint"), F.size(f"m_{s}").alias("n_fields"))
-        for s in SECTIONS
-    ]
-    return parts[0].unionByName(parts[1])
+    slim = base.select("file_id", "edition", "published_at", *[f"f_{s}" for s in SECTIONS], *[F.size(f"m_{s}").alias(f"n_{s}") for s in SECTIONS])
+    order = [F.col("published_at").asc_nulls_first(), F.col("file_id").asc_nulls_first()]
+    pairs = previous_row(slim, ["edition"], order)
+    moved = {f"v_{s}": F.when(F.col("prev").isNull() | (F.col(f"prev.f_{s}") != F.col(f"f_{s}")), 1).otherwise(0).cast("long") for s in SECTIONS}
+    numbered = running(pairs.select("*", *[c.alias(f"_{k}") for k, c in moved.items()]).drop("prev"), ["edition"], order, sums={k: F.col(f"_{k}") for k in moved})
+    each = F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"v_{s}").alias("version"), F.col(f"f_{s}").alias("fingerprint"), F.col(f"n_{s}").alias("n_fields")) for s in SECTIONS])
+    return numbered.select("file_id", "edition", F.inline(each))
 
 
 def field_origins(files: DataFrame, changes: DataFrame | None = None, max_rounds: int = 40) -> DataFrame:
@@ -138,23 +143,23 @@ def field_origins(files: DataFrame, changes: DataFrame | None = None, max_rounds
         keys = k if keys is None else keys.unionByName(k)
     changes = schema_changes(files) if changes is None else changes
     steps = changes.where((F.col("change") == "renamed") & (F.col("was") != F.col("field")))
-    steps = cut(steps.select("edition", "section", "field", "was", at.alias("at")).dropDuplicates(["edition", "section", "field", "at"]))
+    steps = store(steps.groupBy("edition", "section", "field", at.alias("at")).agg(F.min("was").alias("was")))
     steps = steps.withColumn("step", F.xxhash64("edition", "section", "field", "at"))
-    by_key = Window.partitionBy("edition", "section", "key").orderBy("at", "late")
 
     def parent(rows: DataFrame, key: str, late: int) -> DataFrame:
         """Adds ``up``: the last step that ended in ``key`` at or (late 0) before the row's file."""
         marks = steps.select("edition", "section", F.col("field").alias("key"), "at", F.lit(1).alias("late"), F.col("step").alias("mark"), F.lit(None).cast("long").alias("rid"))
         asks = rows.select("edition", "section", F.col(key).alias("key"), "at", F.lit(late).alias("late"), F.lit(None).cast("long").alias("mark"), "rid")
-        found = marks.unionByName(asks).withColumn("up", F.last("mark", ignorenulls=True).over(by_key))
+        order = [F.col("at").asc_nulls_first(), F.col("late").asc(), F.col("mark").asc_nulls_first(), F.col("rid").asc_nulls_first()]
+        found = running(marks.unionByName(asks), ["edition", "section", "key"], order, last_before={"up": F.col("mark")})
         return rows.join(found.where(F.col("rid").isNotNull()).select("rid", "up"), "rid", "left")
 
     tree = parent(steps.withColumn("rid", F.col("step")), "was", 0).select("step", "was", "up")
-    tree = cut(tree.select("step", F.coalesce("up", "step").alias("up"), F.col("was").alias("origin")))
+    tree = store(tree.select("step", F.coalesce("up", "step").alias("up"), F.col("was").alias("origin")))
     for _ in range(max_rounds):
         top = tree.select(F.col("step").alias("up"), F.col("up").alias("up2"), F.col("origin").alias("origin2"))
         jumped = tree.join(top, "up").select("step", F.col("up2").alias("up"), F.col("origin2").alias("origin"), (F.col("up") != F.col("up2")).alias("moved"))
-        jumped = cut(jumped)
+        jumped = store(jumped)
         tree = jumped.select("step", "up", "origin")
         if jumped.where("moved").isEmpty():
             break

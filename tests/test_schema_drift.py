@@ -82,3 +82,20 @@ def test_players_without_team_and_position_stay(spark):
     )
     got = {r["name"]: (r["team"], r["pos"], r["stats"]) for r in S.consistent_table(files, cells).collect()}
     assert got == {"Ann": (None, [], {"HIT": 3.0}), "Cut Short": (None, [], {}), "Sum": ("ABC", ["C"], {"HIT": 1.0}), "Bo": (None, [], {"HIT": 5.0})}
+
+
+def test_a_number_text_that_becomes_a_heading_is_renamed(spark):
+    rows = [(1, "E", None, '{"PM": "13", "G": "5", "A": "Assists"}', None), (2, "E", dt.datetime(2050, 1, 1), '{"PM": "plus/minus", "G": "6", "A": " ASSISTS"}', None)]
+    got = S.schema_changes(spark.createDataFrame(rows, "file_id long, edition string, published_at timestamp, columns string, goalie_columns string")).collect()
+    assert [(r["field"], r["change"]) for r in got] == [("PM", "renamed")]
+
+
+def test_versions(spark):
+    maps = ['{"G": 1}', '{ "G":1 }', '{"G": 2}', None, '{"G": 2}']
+    rows = [(i, None if i % 2 else "E", dt.datetime(2050, 1, 1 + i // 2), m, "{}") for i, m in enumerate(m for m in maps for _ in (0, 1))]
+    v = S.schema_versions(spark.createDataFrame(rows, "file_id long, edition string, published_at timestamp, columns string, goalie_columns string").repartition(5))
+    for odd in (0, 1):
+        got = {r["file_id"] // 2: r["version"] for r in v.where("section = 'columns'").collect() if r["file_id"] % 2 == odd}
+        assert got == {0: 1, 1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r["version"] for r in v.where("section = 'goalie_columns'").collect()} == {1}
+    assert S.schema_versions(spark.createDataFrame([], "file_id long, edition string, published_at timestamp, columns string, goalie_columns string")).count() == 0
