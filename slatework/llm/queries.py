@@ -23,7 +23,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.voted_survivors(table(spark, sf_dir, "source_row"), table(spark, sf_dir, "team_code"))
+    out = survivors.voted_survivors(table(spark, sf_dir, "source_row"), table(spark, sf_dir, "team_code"))
+    return out.select("listing_id", "n_rows", *[x for f in survivors.FIELDS for x in ((F.array_join(f, "/").alias(f) if f == "pos" else f), F.round(f"{f}_share", 6).alias(f"{f}_share"), f"{f}_row_id")])
 
 
 def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,45 @@ QUERIES = {
     "p8_found": p8_found, "p8_clean": p8_clean,
 }
 
+
+
+_P6_WORDS = r"""
+WITH t AS (
+  SELECT doc_id AS id, 0 AS kind, text FROM documents UNION ALL SELECT item_id, 1, text FROM eval_item),
+clean AS (
+  SELECT id, kind, strip_accents(lower(text)) AS t FROM t),
+w AS (SELECT id, kind, regexp_extract_all(translate(replace(t, 'ß', 'ss'), 'øł', 'ol'), '[\p{L}\p{N}]+') AS w FROM clean)"""
+
+
+def _p2_sql(rounds: int = 12) -> str:
+    """Truth discovery with its rounds written out; it reaches its fixed point well before the last, after which nothing changes."""
+    sql = """
+WITH spell AS (SELECT lower(trim(spelling, ' ')) AS s, min(code) AS code FROM team_code GROUP BY 1),
+r AS (
+  SELECT listing_id, row_id, source_id || '/' || coalesce(feed, '') AS source, source_id, coalesce(feed, '') AS feed, {'s': coalesce(seen_at, '0001-01-01'::TIMESTAMP), 'f': feed IS NOT DISTINCT FROM 'primary', 'i': -row_id} AS prec,
+         code AS team, nullif(array_to_string(list_filter(coalesce(pos, []), lambda p: p IN ('C', 'LW', 'RW', 'D', 'G')), '/'), '') AS pos, CASE WHEN age BETWEEN 17 AND 50 AND NOT isnan(age) THEN round(age, 1)::VARCHAR END AS age
+  FROM source_row LEFT JOIN spell ON spell.s = lower(trim(team, ' '))),
+c AS (
+  SELECT listing_id, source, 'team' AS field, team AS value, count(*) AS n, max(prec) AS prec FROM r WHERE team IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT listing_id, source, 'pos', pos, count(*), max(prec) FROM r WHERE pos IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT listing_id, source, 'age', age, count(*), max(prec) FROM r WHERE age IS NOT NULL GROUP BY ALL),
+t0 AS (SELECT DISTINCT source, field, 0.8::DOUBLE AS rel FROM c)"""
+    for k in range(rounds + 1):
+        sql += f""",
+v{k} AS MATERIALIZED (SELECT listing_id, field, value, sum(n * rel) AS support, max(prec) AS prec FROM c JOIN t{k} USING (source, field) GROUP BY ALL),
+e{k} AS MATERIALIZED (SELECT listing_id, field, arg_max(value, {{'s': round(support, 9), 'p': prec, 'v': value}}) AS value, max({{'s': round(support, 9), 'p': prec, 'v': value}}) AS top, sum(support) AS whole FROM v{k} GROUP BY ALL),
+t{k + 1} AS MATERIALIZED (SELECT c.source, c.field, greatest(0.05, (sum(n) FILTER (c.value = e.value) + 1.6) / (sum(n) + 2.0)) AS rel FROM c JOIN e{k} e USING (listing_id, field) GROUP BY ALL)"""
+    return sql
+
+
 SQL = {
+    "p2_golden": _p2_sql() + """
+SELECT listing_id, n_rows, max(e.value) FILTER (e.field = 'team') AS team, round(max(top.s / whole) FILTER (e.field = 'team'), 6) AS team_share, max(-top.p.i) FILTER (e.field = 'team') AS team_row_id,
+       max(e.value) FILTER (e.field = 'pos') AS pos, round(max(top.s / whole) FILTER (e.field = 'pos'), 6) AS pos_share, max(-top.p.i) FILTER (e.field = 'pos') AS pos_row_id,
+       max(e.value) FILTER (e.field = 'age')::DOUBLE AS age, round(max(top.s / whole) FILTER (e.field = 'age'), 6) AS age_share, max(-top.p.i) FILTER (e.field = 'age') AS age_row_id
+FROM (SELECT listing_id, count(*) AS n_rows FROM source_row GROUP BY 1 HAVING count(*) >= 2) LEFT JOIN e12 e USING (listing_id) GROUP BY ALL""",
+    "p2_reliability": _p2_sql() + """
+SELECT split_part(source, '/', 1) AS source_id, split_part(source, '/', 2) AS feed, field, round(rel, 6) AS reliability FROM t13""",
     "p2_found": """
 WITH r AS (
   SELECT listing_id, row_id, seen_at, CASE WHEN feed = 'primary' THEN 0 ELSE 1 END AS f,
@@ -117,15 +156,23 @@ SELECT listing_id,
        coalesce(max(CASE WHEN an = 1 THEN row_id END), -1) AS age_row_id
 FROM o GROUP BY listing_id HAVING count(*) >= 2
 """,
-    "p6_found": r"""
-WITH t AS (
-  SELECT doc_id AS id, 0 AS kind, text FROM documents UNION ALL SELECT item_id, 1, text FROM eval_item),
-clean AS (
-  SELECT id, kind, strip_accents(lower(text)) AS t FROM t),
-w AS (SELECT id, kind, regexp_extract_all(translate(replace(t, 'ß', 'ss'), 'øł', 'ol'), '[\p{L}\p{N}]+') AS w FROM clean),
+    "p6_found": _P6_WORDS + """,
 g AS (
   SELECT id, kind, array_to_string(w[i : i + 9], ' ') AS g
   FROM (SELECT id, kind, w, unnest(range(1, len(w) - 8)) AS i FROM w WHERE len(w) >= 10))
-SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g AND d.kind = 0 AND i.kind = 1
-""",
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g AND d.kind = 0 AND i.kind = 1""",
+    # Exact runs of five words and more; a run of ten is exact, a shorter one needs a window of ten item words from either of its ends with one edit,
+    # which can only be where the run ends: a word replaced, left out or put in.
+    "p6_report": _P6_WORDS + """,
+g AS (SELECT id, kind, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT id, kind, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= CASE kind WHEN 1 THEN 10 ELSE 5 END)),
+m AS (SELECT d.id AS d, i.id AS t, d.i AS p, i.i AS j FROM g d JOIN g i ON d.g = i.g AND d.kind = 0 AND i.kind = 1),
+island AS (SELECT d, t, p, j, p - row_number() OVER (PARTITION BY d, t, p - j ORDER BY p) AS k FROM m),
+run AS (SELECT d, t, min(p) AS p, min(j) AS j, count(*) + 4 AS run FROM island GROUP BY d, t, p - j, k),
+x AS (SELECT r.*, a.w AS dw, b.w AS iw, p + run AS q, j + run AS h FROM run r JOIN w a ON a.id = r.d AND a.kind = 0 JOIN w b ON b.id = r.t AND b.kind = 1),
+ok AS (
+  SELECT d, t, run FROM x WHERE run >= 10
+     OR (j + 9 <= len(iw) AND (iw[h + 1 : j + 9] = dw[q : q + 8 - run] OR (q <= len(dw) AND (iw[h + 1 : j + 9] = dw[q + 1 : q + 9 - run] OR iw[h : j + 9] = dw[q + 1 : q + 10 - run]))))
+     OR (h - 10 >= 1 AND (iw[h - 10 : j - 2] = dw[greatest(p - 9 + run, 1) : p - 1] OR (p >= 2 AND (iw[h - 10 : j - 2] = dw[greatest(p - 10 + run, 1) : p - 2] OR iw[h - 10 : j - 1] = dw[greatest(p - 11 + run, 1) : p - 2]))))),
+per AS (SELECT d, t, max(run) AS run FROM ok GROUP BY 1, 2)
+SELECT t AS item_id, count(*) FILTER (run >= 10) AS exact_docs, count(*) FILTER (run < 10) AS edited_docs, max(run)::INT AS longest_run FROM per GROUP BY 1""",
 }
