@@ -171,9 +171,14 @@ FOUND = T.StructType(
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_words`` words, each block collected by itself."""
+    """The items in blocks of about ``block_words`` words, each block collected by itself.
+
+    Words are counted as they are cut, at every sign; a sign that may decompose into another word counts as one.
+    """
     slim = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    total = slim.agg(F.sum(F.size(F.split("t", r"[\s\p{Z}]+")))).first()[0] or 0
+    plain = F.length("t") == F.octet_length("t")
+    parts = F.size(F.split("t", r"[^\p{L}\p{N}]+"))
+    total = slim.agg(F.sum(F.when(plain, parts).otherwise(parts + F.length(F.regexp_replace("t", r"[\p{L}\p{N}\s]", ""))))).first()[0] or 0
     n = max(1, -(-total // block_words))
     for b in range(n):
         part = slim if n == 1 else slim.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)

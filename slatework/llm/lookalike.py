@@ -10,7 +10,7 @@ value; it is joined back to the stored values.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,7 +30,7 @@ SIGNS = {
     "’": "'", "‘": "'", "ʼ": "'", "ʹ": "'", "′": "'", "＇": "'", "`": "'", "´": "'", "ʻ": "'", "‛": "'",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹣": "-", "－": "-", "⁃": "-",
     "‚": ",", "，": ",", "．": ".", "․": ".", "（": "(", "）": ")",
-"ɑ": "a", "ɡ": "g", "ꞌ": "'",
+    "ɑ": "a", "ɡ": "g", "ꞌ": "'",
 }
 #: Code points seen as a space, and such as are not seen at all.
 SPACES = (0x09, 0x0A, 0x0D, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -59,15 +59,18 @@ def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+# Signs that are read as words, but look like none; they stay as they are.
+WORD_SIGNS = "℀℁℅℆№℠℡™℻"
+
+
 def looks_like(c: Column) -> Column:
     """The text with every look-alike, odd space and invisible character mapped; nothing else changes."""
-    one = {k: v for k, v in SHAPES.items() if len(k) == 1 and len(v) == 1 and ord(k) <= 0xFFFF}
+    one = {k: v for k, v in SHAPES.items() if len(v) == 1}
+    more = {k: v for k, v in SHAPES.items() if len(v) > 1 and k not in WORD_SIGNS}
     gone = [k for k, v in SHAPES.items() if not v]
     out = F.translate(c, "".join(one) + "".join(gone), "".join(one.values()))
-    for k, v in SHAPES.items():
-        if len(v) > 1 and 0xFB00 <= ord(k) <= 0xFB06:
-            out = F.replace(out, F.lit(k), F.lit(v))
-    return out
+    wide = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), more.items(), out)
+    return F.when(c.rlike(f"[{''.join(more)}]"), wide).otherwise(out)
 
 
 def in_other_script(c: Column) -> Column:

@@ -70,3 +70,9 @@ def test_canonical_forms(spark):
     hit = {r["id"]: r["form"] for r in L.odd_spellings(rows, ["id"], "value").collect()}
     assert hit == {**dict(enumerate(odd.values())), len(odd) + len(same) + 1: "x" * 5000}
     assert L.odd_spellings(rows.limit(0), ["id"], "value").count() == 0
+
+
+def test_letters_beyond_the_first_plane_and_numbers_in_circles(spark):
+    names = spark.createDataFrame([(1, "𝐁o Ek"), (2, "Ｂo Ek"), (3, "Line ⑩"), (4, "ﬁ Ek"), (5, "Bo™ Ek"), (6, "Bo Ek")], "id long, v string")
+    got = {r["id"]: r["form"] for r in L.odd_spellings(names, ["id"], "v").collect()}
+    assert got == {1: "Bo Ek", 2: "Bo Ek", 3: "Line 10", 4: "fi Ek"}
