@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatework.functions.scalars import js_round, truthy
-from slatework.operators.ordering import global_row_number
+from slatework.operators.ordering import global_row_number, linear_percentiles
 from slatework.operators.value import FORWARDS
 
 # Sort keys that go up by default; all others go down.
@@ -57,7 +57,7 @@ def percentile_bands(df: DataFrame, value: str, name: str, high: float = 0.75, l
 
     Percentiles interpolate linearly over all present values. The two cuts are literals, no join.
     """
-    cuts = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("c")).first()["c"]
+    cuts = linear_percentiles(df, value, [low, high])
     if cuts is None:
         return df.withColumn(name, F.lit(0))
     v = F.col(value)

@@ -7,6 +7,7 @@ spread over many tasks, and mend the seams with one small row per partition.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,3 +105,19 @@ def nth_smallest(df: DataFrame, group: list[str], value: str, at: Column, name:
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     return ranked.join(sized, on).where(F.col("_rn") == F.col("_at")).select(*group, F.col(value).alias(name))
+
+
+def linear_percentiles(df: DataFrame, value: str, shares: list[float]) -> list[float] | None:
+    """Percentiles of a column with linear interpolation, over its values that are neither null nor NaN; null without any.
+
+    Values are sorted over range partitions; two of them per share reach the driver.
+    """
+    some = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ranked = global_row_number(some, [F.col("v").asc()], "_rn")
+    n = ranked.count()
+    if not n:
+        return None
+    at = [(n - 1) * s for s in shares]
+    wanted = sorted({k for x in at for k in (math.floor(x) + 1, math.ceil(x) + 1)})
+    got = {r["_rn"]: r["v"] for r in ranked.where(F.col("_rn").isin(*wanted)).collect()}
+    return [got[math.floor(x) + 1] + (got[math.ceil(x) + 1] - got[math.floor(x) + 1]) * (x - math.floor(x)) for x in at]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.operators.ordering import global_row_number, nth_smallest, previous_row, rank_within, running
+from slatework.session import store
 
 # Position order and the tie order of choices among them.
 POSITIONS = ("C", "LW", "RW", "D", "G")
@@ -126,7 +127,9 @@ def gap_tiers(valued: DataFrame, k: float = 1.0, depth: dict[str, int] | None =
     with fewer than two rows is tier 1. ``depth`` maps a group to its window; none means all.
     """
     order = [F.desc("vorp"), F.asc("player")]
-    g = rank_within(gaps(valued, group), [group], order, "_n")
+    # One pass gives both the place in the group and the value before it.
+    g = running(valued, [group], order, sums={"_n": F.lit(1).cast("long")}, last_before={"_prev": F.col("vorp")})
+    g = store(g.withColumn("gap", F.col("_prev") - F.col("vorp")).drop("_prev"))
     size = F.create_map(*[F.lit(x) for kv in (depth or {}).items() for x in kv])[F.col(group)] if depth else F.lit(None)
     limit = F.when(F.coalesce(size, F.lit(0)) <= 0, F.lit(2**62)).otherwise(F.greatest(size, F.lit(2)))
     sample = g.where(F.col("gap").isNotNull() & (F.col("_n") - 1 <= limit)).select(group, "gap")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from slatework.operators.ordering import global_row_number, nth_smallest, previous_row, rank_within, running
+from slatework.operators.ordering import global_row_number, linear_percentiles, nth_smallest, previous_row, rank_within, running
 
 
 def _rows(n=400, seed=1):
@@ -42,3 +42,13 @@ def test_empty(spark):
     assert global_row_number(df, [F.col("k")]).count() == 0
     assert previous_row(df, ["g"], [F.col("k")]).count() == 0
     assert running(df, ["g"], [F.col("k")], {"s": F.col("v")}).count() == 0
+
+
+def test_percentiles(spark):
+    df = lambda v: spark.createDataFrame([(x,) for x in v], "v double")
+    assert linear_percentiles(df([4.0, 1.0, 3.0, 2.0, None, float("nan")]), "v", [0.5, 0.0, 1.0]) == [2.5, 1.0, 4.0]
+    assert linear_percentiles(df([5.0]), "v", [0.75]) == [5.0]
+    assert linear_percentiles(df([None]), "v", [0.5]) is None
+    many = [float(i % 97) for i in range(5000)]
+    want = spark.createDataFrame([(x,) for x in many], "v double").selectExpr("percentile(v, array(0.25, 0.75))").first()[0]
+    assert linear_percentiles(df(many).repartition(9), "v", [0.25, 0.75]) == want
