@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatework.llm.lookalike import SHAPES
-from slatework.session import cut, spread
+from slatework.session import spread, store
 
 # Encodings that text is written in and wrongly read as.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "mac_roman", "cp850", "cp437")
@@ -35,6 +35,7 @@ DAMAGED, UTF8_SHARE = 0.02, 0.7
 NEAR, OFTENER = -7.5, 2
 #: Probabilities of unlikely emissions: a look-alike, an unknown sign in the clean state, a damaged sign without its partner.
 LOOKALIKE, STRANGE, ORPHAN, MIXED, ODD_CASE = 3e-3, 1e-7, 1e-4, 1e-2, 0.03
+ORPHAN_LOG, MIXED_LOG, STAR_LOG = math.log(ORPHAN), math.log(MIXED), math.log(0.02)
 
 
 #: Signs that only the UTF-8 pairs are taken to damage: elsewhere they would explain any letter away.
@@ -194,18 +195,29 @@ class Decoder:
         first = [DAMAGED * (UTF8_SHARE / sum(utf8) if u else (1 - UTF8_SHARE) / (len(utf8) - sum(utf8))) for u in utf8]
         self.enter = [math.log((priors or {}).get(p, q)) for p, q in zip(self.pairs, first, strict=True)]
         self.lost = math.log(DAMAGED * 0.05)
+        self.seen: dict[tuple[str, str, str, bool], tuple[float, str]] = {}
 
-    def _clean(self, a: str, b: str, c: str, prev: str) -> tuple[float, str]:
+    def clean(self, a: str, b: str, c: str, after_small: bool) -> tuple[float, str]:
+        """``_clean``, each case worked out once."""
+        key = (a, b, c, after_small)
+        got = self.seen.get(key)
+        if got is None:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            got = self.seen[key] = self._clean(a, b, c, after_small)
+        return got
+
+    def _clean(self, a: str, b: str, c: str, after_small: bool) -> tuple[float, str]:
         """Log-probability that the clean state shows ``c``, and the original character."""
         if c.isascii() and c not in LOST:
             s = _symbol(c)
             return (self.lm.log(a, b, s) if s != "*" else -8.0), s
         low = c.lower()
         if len(low) == 1 and low in LETTERS:
-            odd = math.log(ODD_CASE) if c.isupper() and prev.islower() else 0.0
+            odd = math.log(ODD_CASE) if after_small and c.isupper() else 0.0
             return self.lm.log(a, b, low) + odd, low
         if c in SHAPES:
-            odd = math.log(ODD_CASE) if c.isupper() and prev.islower() else 0.0
+            odd = math.log(ODD_CASE) if after_small and c.isupper() else 0.0
             s = _symbol(SHAPES[c][:1] or " ")
             if not SHAPES[c] or s == "*":
                 return math.log(LOOKALIKE), b
@@ -217,32 +229,38 @@ class Decoder:
         n = len(name)
         at: list[dict] = [{} for _ in range(n + 1)]
         at[0][-1, "^", "^"] = (0.0, None)
+        clean, log, enter = self.clean, self.lm.log, self.enter
         for i in range(n):
-            c, prev = name[i], name[i - 1] if i else " "
-            options = [(k, o, i + ln) for ln in range(1, min(self.longest, n - i) + 1) for k, o in self.shown.get(name[i : i + ln], ())] if not c.isascii() else []
-            for (pair, a, b), (score, _) in at[i].items():
-                key = (pair, a, b)
-                if i in own_script:
-                    self._put(at, i + 1, (pair, "^", "^"), score - 3.0, key, i, None)
+            c, small = name[i], i > 0 and name[i - 1].islower()
+            odd = not c.isascii()
+            options = [(k, o, i + ln) for ln in range(1, min(self.longest, n - i) + 1) for k, o in self.shown.get(name[i : i + ln], ())] if odd else []
+            by_pair: dict[int, list[tuple[str, str, float, int]]] = {}
+            for k, o, end in options:
+                by_pair.setdefault(k, []).append((o, _symbol(o), math.log(ODD_CASE) if small and o.isupper() else 0.0, end))
+            own, mixed, orphan, lost, after = i in own_script, odd and c not in SHAPES, odd and c in self.damaged_signs, c in LOST, at[i + 1]
+            for key, (score, _) in at[i].items():
+                pair, a, b = key
+                if own:
+                    self._put(after, (pair, "^", "^"), score - 3.0, key, i, None)
                     continue
-                s, o = self._clean(a, b, c, prev)
-                if pair >= 0 and not c.isascii() and c not in SHAPES:
-                    s += math.log(MIXED)
-                nb = "^" if o == " " else o
-                self._put(at, i + 1, (pair, b if nb != "^" else "^", nb), score + s, key, i, None)
-                if pair >= 0 and c in self.damaged_signs and not c.isascii():
-                    self._put(at, i + 1, (pair, b, "*"), score + math.log(ORPHAN), key, i, c)
-                if c in LOST and (pair == -2 or pair == -1):
-                    self._put(at, i + 1, (-2, b, "*"), score + (self.lost if pair == -1 else 0.0) - 3.0, key, i, c)
-                for k, orig, end in options:
-                    if pair not in (-1, k):
-                        continue
-                    low = _symbol(orig)
-                    p = self.lm.log(a, b, low) if low != "*" else math.log(0.02)
-                    if orig.isupper() and prev.islower():
-                        p += math.log(ODD_CASE)
-                    self._put(at, end, (k, b, low), score + p + (self.enter[k] if pair == -1 else 0.0), key, i, orig)
-        clean = max((s for (p, _, _), (s, _) in at[n].items() if p == -1), default=-1e9)
+                s, o = clean(a, b, c, small)
+                if pair >= 0 and mixed:
+                    s += MIXED_LOG
+                new = (pair, b, o) if o not in " ^" else (pair, "^", "^")
+                total = score + s
+                old = after.get(new)
+                if old is None or total > old[0]:
+                    after[new] = (total, (key, i, None))
+                if orphan and pair >= 0:
+                    self._put(after, (pair, b, "*"), score + ORPHAN_LOG, key, i, c)
+                if lost and pair < 0:
+                    self._put(after, (-2, b, "*"), score + (self.lost if pair == -1 else 0.0) - 3.0, key, i, c)
+                for k in by_pair if pair == -1 else (pair,) if pair in by_pair else ():
+                    start = score + enter[k] if pair == -1 else score
+                    for orig, low, case, end in by_pair[k]:
+                        p = log(a, b, low) if low != "*" else STAR_LOG
+                        self._put(at[end], (k, b, low), start + p + case, key, i, orig)
+        whole = max((s for (p, _, _), (s, _) in at[n].items() if p == -1), default=-1e9)
         worst = max(((s, k) for k, (s, _) in at[n].items() if k[0] != -1), default=None)
         if worst is None:
             return -1e9, -1, []
@@ -252,13 +270,13 @@ class Decoder:
             if shown is not None:
                 spans.append((start, i, shown))
             i, key = start, back
-        return worst[0] - clean, worst[1][0], spans[::-1]
+        return worst[0] - whole, worst[1][0], spans[::-1]
 
     @staticmethod
-    def _put(at: list[dict], i: int, key: tuple, score: float, back: tuple, start: int, shown: str | None) -> None:
-        old = at[i].get(key)
+    def _put(at: dict, key: tuple, score: float, back: tuple, start: int, shown: str | None) -> None:
+        old = at.get(key)
         if old is None or score > old[0]:
-            at[i][key] = (score, (back, start, shown))
+            at[key] = (score, (back, start, shown))
 
 
 def own_script_positions(name: str) -> frozenset[int]:
@@ -344,12 +362,12 @@ def fit(names: DataFrame, col: str = "name") -> tuple[Language, dict[str, float]
     and how often it found each pair gives the prior. Rows count as often as they occur; only odd names
     are decoded, each once. Only bounded counts reach the driver.
     """
-    each = cut(_distinct(names.select(F.col(col).alias("name"))))
+    each = store(_distinct(names.select(F.col(col).alias("name"))))
     counts = count_grams(each)
     first = names.sparkSession.sparkContext.broadcast((Language(counts[False] + counts[True]), None))
     seen = spread(each.where("odd")).select("name", "k", _labeller(first)("name").alias("d"))
     pair = F.when(F.col("d.sure"), F.col("d.pair"))
-    seen = cut(seen.select(pair.alias("pair"), F.when(pair.isNotNull(), F.col("d.restored")).otherwise(F.col("name")).alias("name"), "k", F.lit(True).alias("odd")))
+    seen = store(seen.select(pair.alias("pair"), F.when(pair.isNotNull(), F.col("d.restored")).otherwise(F.col("name")).alias("name"), "k", F.lit(True).alias("odd")))
     n = {r["pair"]: r["n"] for r in seen.groupBy("pair").agg(F.sum("k").alias("n")).collect()}
     total = sum(n.values()) + (each.where("not odd").agg(F.sum("k")).first()[0] or 0) + 1.0
     pairs, _, _ = transforms()
@@ -371,12 +389,12 @@ def damages(rows: DataFrame, col: str = "name", model: tuple[Language, dict[str,
     model = fit(slim) if model is None else model
     shared = rows.sparkSession.sparkContext.broadcast(model)
     # Every odd text is labelled once; the few that come out damaged are what is joined back to the rows.
-    seen = spread(_distinct(slim).where("odd")).withColumn("damage", _labeller(shared)(F.col("name")))
-    seen = cut(seen.where("damage.pair is not null").select("name", "damage"))
+    seen = store(spread(_distinct(slim).where("odd")).select("name", _labeller(shared)(F.col("name")).alias("damage")))
+    seen = seen.where("damage.pair is not null")
     near = seen.where("not damage.sure").select("name", F.col("damage.restored").alias("restored"))
     shown, restored = _words(F.col("name")), _words(F.col("restored"))
     pairs = near.select("name", F.explode(F.filter(F.arrays_zip(shown.alias("shown"), restored.alias("mended")), lambda z: ~z["shown"].eqNullSafe(z["mended"]))).alias("z"))
-    pairs = cut(pairs.select("name", F.lower("z.shown").alias("shown"), F.lower("z.mended").alias("mended")))
+    pairs = store(pairs.select("name", F.lower("z.shown").alias("shown"), F.lower("z.mended").alias("mended")))
     wanted = pairs.select(F.col("shown").alias("word")).union(pairs.select("mended")).distinct()
     counts = slim.select(F.explode(_words(F.col("name"))).alias("word")).join(wanted, "word", "left_semi").groupBy("word").count()
     a = counts.select(F.col("word").alias("shown"), F.col("count").alias("n_shown"))
