@@ -568,7 +568,13 @@ def ref_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bd.attach_schedule(first, schedule, ("nights",)).select("player", "nights_band")
 
 
-@_query()
+@_query(_BOARD.replace("WITH base", "WITH RECURSIVE base", 1) + """, o AS (SELECT (rank % 12)::VARCHAR AS owner, player, pos, row_number() OVER (PARTITION BY rank % 12 ORDER BY vorp DESC, player) AS n FROM board WHERE rank <= 192),
+f AS (
+  SELECT owner, player, n, [2, 2, 2, 4, 2] AS free, pos, 0 AS slot FROM (SELECT DISTINCT owner, -1::BIGINT AS player, 0::BIGINT AS n, []::VARCHAR[] AS pos FROM o)
+  UNION ALL
+  SELECT o.owner, o.player, o.n, CASE WHEN x.s > 0 THEN list_concat(free[1 : x.s - 1], list_concat([free[x.s] - 1], free[x.s + 1 : 5])) ELSE free END, o.pos, x.s
+  FROM f JOIN o ON o.owner = f.owner AND o.n = f.n + 1, LATERAL (SELECT coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda i: f.free[i] > 0 AND list_contains(o.pos, ['C', 'LW', 'RW', 'D', 'G'][i]))), 0) AS s) x)
+SELECT owner, player, CASE WHEN slot > 0 THEN ['C', 'LW', 'RW', 'D', 'G'][slot] ELSE 'XTRA' END AS slot FROM f WHERE n > 0""")
 def ref_fill_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rosters of twelve owners who pick in turn, filled slot by slot."""
     b = board(spark, sf_dir).where(F.col("rank") <= TEAMS * 16)

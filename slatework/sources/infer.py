@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.functions.scalars import BLANKS, name_key, parse_number, parse_positions
+from slatework.functions.scalars import BLANKS, heading_key, name_key, parse_number, parse_positions
 from slatework.operators.identity import first_wins
 
 # Headings by field, in normal form; an earlier field keeps a heading that a later one lists as well.
@@ -94,6 +94,19 @@ def header_row(rows: list[list[str | None]], within: int = 15) -> int:
     return scores.index(max(scores)) if scores else 0
 
 
+def header_rows(cells: DataFrame, group: list[str], within: int = 15) -> DataFrame:
+    """``header_row`` of every sheet of ``group, row_no, cells``: the distributed form of ``header_row``, by ``row_no``.
+
+    Sheets without a known heading in their first ``within`` rows have their first row.
+    """
+    known = STRONG | {k: v for k, v in WEAKER.items() if k not in STRONG}
+    field = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    first = cells.where(F.col("row_no") <= within)
+    named = F.array_distinct(F.filter(F.transform("cells", lambda c: field[heading_key(F.coalesce(c, F.lit("")))]), lambda f: f.isNotNull()))
+    points = F.size(named) + F.when(F.array_contains(named, "name"), 3).otherwise(0)
+    return first.groupBy(*group).agg(F.max_by("row_no", F.struct(points.alias("p"), (-F.col("row_no")).alias("n"))).alias("header_row"))
+
+
 def auto_map(cells: DataFrame, sample: int = 56) -> list[dict]:
     """For every column ``index, header, sample, field, uncertain, duplicate, note`` from the first ``sample`` rows.
 
