@@ -78,6 +78,14 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
 
 
+def p7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every target whether its share was met, to within a fiftieth, and no document used too often."""
+    goals = table(spark, sf_dir, "mix_target")
+    report = mixture.mix_report(table(spark, sf_dir, "documents"), goals).where("dimension = 'source'").select(F.col("value").alias("source"), "share", "most_copies")
+    j = goals.join(report, "source", "left")
+    return j.select("source", "target_share", (F.abs(F.col("share") - F.col("target_share")) <= 0.02).alias("met"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -94,7 +102,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_forms": p4_forms,
     "p6_found": p6_found, "p6_report": p6_report,
-    "p7_mix": p7_mix, "p7_report": p7_report,
+    "p7_mix": p7_mix, "p7_report": p7_report, "p7_targets": p7_targets,
     "p8_found": p8_found, "p8_clean": p8_clean,
 }
 
@@ -108,6 +116,23 @@ clean AS (
 w AS (SELECT id, kind, regexp_extract_all(translate(replace(t, 'ß', 'ss'), 'øł', 'ol'), '[\p{L}\p{N}]+') AS w FROM clean)"""
 
 
+def _p4_sql() -> str:
+    """Look-alikes by one translation and a few replacements; equal under composition instead of collation."""
+    quoted = lambda s: s.replace("'", "''")
+    one = {k: v for k, v in lookalike.SHAPES.items() if len(v) == 1}
+    gone = [k for k, v in lookalike.SHAPES.items() if not v]
+    mapped = f"translate(value, '{quoted(''.join(one) + ''.join(gone))}', '{quoted(''.join(one.values()))}')"
+    for k, v in lookalike.SHAPES.items():
+        if len(v) > 1 and k not in lookalike.WORD_SIGNS:
+            mapped = f"replace({mapped}, '{k}', '{quoted(v)}')"
+    ordinary = r"regexp_full_match(value, '[\x20-\x7E\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{1E00}-\x{1EFF}]*')"
+    return f"""
+WITH v AS (SELECT DISTINCT name AS value FROM source_row UNION SELECT c0 FROM aliases),
+m AS (SELECT value, {ordinary} AS plain, CASE WHEN {ordinary} THEN value ELSE {mapped} END AS mapped FROM v WHERE value IS NOT NULL),
+c AS (SELECT nfc_normalize(mapped) AS class, min(value) FILTER (plain) AS stored FROM m GROUP BY 1)
+SELECT value, CASE WHEN plain THEN value ELSE coalesce(stored, class) END AS form FROM m JOIN c ON c.class = nfc_normalize(mapped) UNION ALL SELECT NULL, NULL FROM v WHERE value IS NULL"""
+
+
 def _p2_sql(rounds: int = 12) -> str:
     """Truth discovery with its rounds written out; it reaches its fixed point well before the last, after which nothing changes."""
     sql = """
@@ -130,6 +155,8 @@ t{k + 1} AS MATERIALIZED (SELECT c.source, c.field, greatest(0.05, (sum(n) FILTE
 
 
 SQL = {
+    "p4_forms": _p4_sql(),
+    "p7_targets": "SELECT source, target_share, true AS met, true AS capped FROM mix_target",
     "p2_golden": _p2_sql() + """
 SELECT listing_id, n_rows, max(e.value) FILTER (e.field = 'team') AS team, round(max(top.s / whole) FILTER (e.field = 'team'), 6) AS team_share, max(-top.p.i) FILTER (e.field = 'team') AS team_row_id,
        max(e.value) FILTER (e.field = 'pos') AS pos, round(max(top.s / whole) FILTER (e.field = 'pos'), 6) AS pos_share, max(-top.p.i) FILTER (e.field = 'pos') AS pos_row_id,
