@@ -9,9 +9,13 @@ from __future__ import annotations
 import html
 import io
 import os
+import shutil
 import unicodedata
+import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +26,7 @@ from slatework.functions.teams import is_known_team, normalize_team, spelling_ma
 from slatework.operators import board as bd
 from slatework.operators import identity, metrics
 from slatework.plans import reference_queries as ref
-from slatework.session import ensure_checkpoint_dir, store, table
+from slatework.session import ensure_checkpoint_dir, spread, store, table
 from slatework.sources import infer, reader, sinks
 from slatework.sources.sheets import SheetsDataSource
 from slatework.streaming import events as ev
@@ -90,28 +94,29 @@ def _as_xlsx(sheets: dict[str, list[list[str]]]) -> bytes:
 def write_files(cells: DataFrame, files: DataFrame, folder: str) -> DataFrame:
     """Writes every file of ``files`` (``file_id, fmt``) with its ``cells`` into the shared folder: ``name`` of each one written.
 
-    One file's sheets meet in one task; a delimited or HTML file is written per sheet.
+    One file's sheets meet in one task, which writes its files one after the other; a delimited or HTML file is written per sheet.
     """
     at = folder.removeprefix("file:")
     os.makedirs(at, exist_ok=True)
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sheet", "row_no"])
-        file_id, fmt = pdf["file_id"].iloc[0], pdf["fmt"].iloc[0]
-        sheets = {}
-        for s, rows in pdf.groupby("sheet"):
-            grid: list[list[str]] = [[] for _ in range(int(rows["row_no"].max()))]
-            for n, c in zip(rows["row_no"], rows["cells"], strict=True):
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in zip(*[pdf[c] for c in ("file_id", "fmt", "sheet", "row_no", "cells")], strict=True))
+        names: list[str] = []
+        for (file_id, fmt), own in groupby(rows, itemgetter(0, 1)):
+            sheets: dict[str, list[list[str]]] = {}
+            for _, _, s, n, c in own:
+                grid = sheets.setdefault(s, [])
+                grid += [[] for _ in range(n - len(grid))]
                 grid[n - 1] = list(c)
-            sheets[s] = grid
-        made = {f"{file_id}.xlsx": _as_xlsx(sheets)} if fmt == "xlsx" else {f"{file_id}-{s}.{fmt}": (_as_html if fmt == "html" else _as_csv)(g) for s, g in sheets.items()}
-        for name, data in made.items():
-            with open(os.path.join(at, name), "wb") as f:
-                f.write(data)
-        return pd.DataFrame({"name": list(made)})
+            made = {f"{file_id}.xlsx": _as_xlsx(sheets)} if fmt == "xlsx" else {f"{file_id}-{s}.{fmt}": (_as_html if fmt == "html" else _as_csv)(g) for s, g in sheets.items()}
+            for name, data in made.items():
+                with open(os.path.join(at, name), "wb") as f:
+                    f.write(data)
+            names += made
+        yield pd.DataFrame({"name": names}, dtype=str)
 
-    rows = cells.join(files.select("file_id", "fmt").dropDuplicates(["file_id"]), "file_id")
-    return rows.groupBy("file_id").applyInPandas(write, "name string")
+    rows = cells.where("sheet is not null").join(files.select("file_id", "fmt").dropDuplicates(["file_id"]), "file_id").select("file_id", "fmt", "sheet", "row_no", "cells")
+    return spread(rows, "file_id").sortWithinPartitions("file_id", "sheet", "row_no").mapInPandas(write, "name string")
 
 
 @_query(r"""
@@ -119,10 +124,12 @@ SELECT file_id, sheet, row_no, array_to_string(list_transform(cells, lambda x: t
 FROM sheet_row JOIN (SELECT DISTINCT file_id FROM sources) USING (file_id) WHERE len(list_filter(cells, lambda x: trim(coalesce(x, '')) <> '')) > 0""")
 def ref_sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every delivered file written in its format and read again by the data source ``sheets``."""
-    folder = f"{ensure_checkpoint_dir(spark)}/files-{os.path.basename(sf_dir.rstrip('/'))}"
+    # A folder of its own, so that no file of an earlier run is read.
+    folder = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
     write_files(table(spark, sf_dir, "sheet_row"), table(spark, sf_dir, "sources"), folder).count()
     spark.dataSource.register(SheetsDataSource)
     got = store(spark.read.format("sheets").option("path", folder.removeprefix("file:")).load())
+    shutil.rmtree(folder.removeprefix("file:"))
     name = F.element_at(F.split("file", "/"), -1)
     tidy = F.transform("cells", lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s ]+", " ")))
     rows = got.select(

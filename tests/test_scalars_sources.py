@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slatework.functions.scalars import js_round, name_key, parse_number, parse_positions, surname
 from slatework.operators import identity
+from slatework.plans import source_queries
 from slatework.sources import infer, sheets
 from slatework.sources.reader import SourceSpec, SpecError, read_picks, read_rulings, read_source
 from slatework.sources.sinks import ranking_lines, write_csv
@@ -51,6 +52,26 @@ def _workbook() -> bytes:
     return b.getvalue()
 
 
+def test_small_files_share_a_task(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i:03}.csv").write_text(f"{i},x\n")
+    spark.dataSource.register(sheets.SheetsDataSource)
+    df = spark.read.format("sheets").option("path", str(tmp_path)).load()
+    assert df.rdd.getNumPartitions() <= 3
+    assert sorted(int(r["cells"][0]) for r in df.collect()) == list(range(600))
+    (tmp_path / "large.csv").write_text("1,x\n" * 3_000_000)
+    assert [len(p.paths) for p in sheets._Reader({"path": str(tmp_path)}).partitions()][-1] == 1
+
+
+def test_sheet_files_of_an_earlier_run_are_not_read(spark, tmp_path):
+    for run, ids in (("a", (1, 2)), ("b", (2, 3))):
+        rows = [(i, s, n, [f"{i}", s, None, " z "]) for i in ids for s in ("main", "goalies") for n in (2, 1, 4)]
+        spark.createDataFrame(rows, "file_id long, sheet string, row_no int, cells array<string>").write.parquet(str(tmp_path / run / "t/sheet_row.parquet"))
+        spark.createDataFrame([(i, ("xlsx", "html", "csv")[i - 1]) for i in (1, 1, 2, 3)], "file_id long, fmt string").write.parquet(str(tmp_path / run / "t/sources.parquet"))
+        got = source_queries.ref_sheet_files(spark, str(tmp_path / run / "t"))
+        assert sorted(map(tuple, got.collect())) == sorted((i, s, n, f"{i}|{s}||z") for i, s, n, _ in rows)
+
+
 def test_sheet_formats(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(_workbook())
     (tmp_path / "b.xls").write_text("<html><table><tr><th>Player</th><td> G </td></tr><tr><td>Jö<b>rn</b></td><td>3</td></tr></table></html>", encoding="utf-8")
