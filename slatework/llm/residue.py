@@ -40,7 +40,7 @@ WORDS, BANDS, BAND_BITS, RADIUS = 4, 6, 10, 54
 AROUND = 0.5
 #: A segment in company: its words, the different texts that hold it, and the part of them that hold a seed.
 COMPANY_WORDS, COMPANY_TEXTS, COMPANY_SHARE = 3, 5, 0.9
-#: Up to so many segments a round's front is broadcast (72 rows of some 100 bytes each, 36 MB); a larger one is shuffled.
+#: Up to so many segments a round's front is broadcast (72 rows of some 110 bytes each, 40 MB, whatever its texts); a larger one is shuffled.
 FRONT = 5_000
 
 # Words of the usual filler Latin.
@@ -196,23 +196,26 @@ def spread_labels(segs: DataFrame) -> DataFrame | None:
     """
     # A text of less than SHINGLE words is its only shingle, so it has no twin but itself.
     long = segs.where(F.size(F.split("seg", " ")) >= SHINGLE)
-    pool = long.where("not seed").select("hash", F.xxhash64("seg").alias("x"), F.xxhash64("seg", F.lit(1)).alias("y"))
-    texts = long.where("not seed").select("seg", F.xxhash64("seg").alias("x"), F.xxhash64("seg", F.lit(1)).alias("y"))
+    ident = lambda seg, x, y: (F.xxhash64(seg).alias(x), F.xxhash64(seg, F.lit(1)).alias(y))
+    pool = long.where("not seed").select("hash", *ident("seg", "x", "y"))
+    texts = long.where("not seed").select("seg", "hash", *ident("seg", "x", "y"))
     front = store(long.where("seed").select(F.col("seg").alias("from_seg"), F.col("hash").alias("from_hash"), "rest"))
     reached: DataFrame | None = None
     while True:
         n = front.count()
         if not n:
             return reached
-        keys = bands(front.withColumnRenamed("from_hash", "hash"), 1).withColumnRenamed("hash", "from_hash")
+        # Without texts, which would be held 72 times over by whoever builds the broadcast.
+        keys = bands(front.select(F.col("from_hash").alias("hash"), *ident("from_seg", "from_x", "from_y")), 1).withColumnRenamed("hash", "from_hash")
         keys = F.broadcast(keys) if n <= FRONT else keys
         near = bands(pool, 0).join(keys, ["band", "bits", "size"]).where(distance(F.col("hash"), F.col("from_hash")) <= RADIUS)
         # Kept apart from the text comparison, which would else be made for every pair of a bucket.
-        near = store(near.select("x", "y", "hash", "from_seg", "rest").distinct())
+        near = store(near.select("x", "y", "from_x", "from_y").distinct())
         a, b = _shingles(F.col("seg")), _shingles(F.col("from_seg"))
         same = F.size(F.array_intersect(a, b))
         around = _around(F.col("from_seg"), F.col("rest"))
-        alike = texts.join(near, ["x", "y"]).where(same >= SIMILAR * (F.size(a) + F.size(b) - same))
+        seeds = front.select("from_seg", "rest", *ident("from_seg", "from_x", "from_y"))
+        alike = texts.join(near, ["x", "y"]).join(seeds, ["from_x", "from_y"]).where(same >= SIMILAR * (F.size(a) + F.size(b) - same))
         new = alike.where(F.size(F.array_intersect(a, around)) >= AROUND * F.size(around)).select("seg", "hash").distinct()
         if reached is not None:
             new = new.join(reached, "seg", "left_anti")

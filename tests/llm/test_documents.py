@@ -123,6 +123,15 @@ def test_a_sentence_is_no_residue_by_a_copy_with_a_notice(spark, monkeypatch, fr
     assert {r["doc_id"] for r in R.find_residue(_docs(spark, docs)).collect()} == {0, 3}
 
 
+def test_a_broadcast_front_holds_no_texts(spark, monkeypatch):
+    sent, broadcast = [], R.F.broadcast
+    monkeypatch.setattr(R.F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    words = " ".join(f"w{i}" for i in "abcdefghijklmnopqrstuvwxyz")
+    docs = [f"{words} an administrator has been notified", f"{words} an administrator was notified"]
+    assert {r["doc_id"] for r in R.find_residue(_docs(spark, docs)).collect()} == {0}
+    assert sent and all(kind != "string" for df in sent for _, kind in df.dtypes)
+
+
 def test_other_punctuation_of_a_notice(spark):
     docs = ["Please try again later.", "Please -- try again: later!", "he said please try again some time later"]
     assert {r["doc_id"] for r in R.find_residue(_docs(spark, docs)).collect()} == {0, 1}
