@@ -9,7 +9,7 @@ else, so an entity with a third of all rows shuffles no more than its distinct c
 Precedence can be built into the weights: the entity's claim that comes first in a stated order
 keeps weight 1 and all its other claims share ``rest``. With
 ``rest < floor`` (the least reliability) the first claim outweighs all others together, whatever
-the reliabilities, so the election follows the order strictly; with ``rest=None`` every claim has
+the reliabilities, so the election follows the order strictly (``latest_survivors`` gives that without any rounds); with ``rest=None`` every claim has
 weight 1 and the election is a plain reliability-weighted vote.
 """
 
@@ -97,8 +97,8 @@ POSITION_CODES = ("C", "LW", "RW", "D", "G")
 AGES = (17, 50)
 
 
-def listing_claims(rows: DataFrame, teams: DataFrame) -> DataFrame:
-    """Claims of team, pos and age by the rows of ``source_row`` about their listings.
+def _listing_fields(rows: DataFrame, teams: DataFrame) -> tuple[DataFrame, dict[str, tuple[Column, Column]], Column]:
+    """The rows of ``source_row`` with their clubs' codes; (usable, value) of team, pos and age; the rows' precedence.
 
     A team is usable if, trimmed and without regard to case, it is a spelling of ``teams`` (its value
     is the club's code); positions with at least one code of C, LW, RW, D, G; an age from 17 to 50.
@@ -114,6 +114,12 @@ def listing_claims(rows: DataFrame, teams: DataFrame) -> DataFrame:
         "age": (F.col("age").between(*AGES) & ~F.isnan("age"), F.round("age", 1)),
     }
     first = F.struct(F.col("seen_at"), F.coalesce(F.col("feed") == "primary", F.lit(False)).alias("primary"), (-F.col("row_id")).alias("neg_id"))
+    return slim, fields, first
+
+
+def listing_claims(rows: DataFrame, teams: DataFrame) -> DataFrame:
+    """Claims of team, pos and age by the rows of ``source_row`` about their listings (see ``_listing_fields``)."""
+    slim, fields, first = _listing_fields(rows, teams)
     return claims(slim, "listing_id", [F.col("source_id"), F.col("feed")], fields, first)
 
 
@@ -129,14 +135,15 @@ def _of(field: str, what: Column) -> Column:
 
 
 def latest_survivors(rows: DataFrame, teams: DataFrame) -> DataFrame:
-    """``listing_id, team_row_id, pos_row_id, age_row_id``: truth discovery under strict precedence.
+    """``listing_id, team_row_id, pos_row_id, age_row_id``: of each field the usable row that comes first, for each listing with two or more rows.
 
     -1 where no row of the listing is usable for the field. Rows with a null ``listing_id`` are one listing.
+    The order leaves nothing to reliabilities, so none are sought: one aggregation gives what
+    ``discover`` elects with ``rest``.
     """
-    elected, _ = discover(listing_claims(rows, teams), rest=0.01)
-    row_id = -F.col("precedence.neg_id")
-    out = _wide(rows, elected, {f"{f}_row_id": _of(f, row_id) for f in FIELDS})
-    return out.select("listing_id", *[F.coalesce(f"{f}_row_id", F.lit(-1).cast("long")).alias(f"{f}_row_id") for f in FIELDS])
+    slim, fields, first = _listing_fields(rows, teams)
+    best = slim.groupBy("listing_id").agg(F.count("*").alias("n_rows"), *[F.max(F.when(usable, first)).alias(f) for f, (usable, _) in fields.items()])
+    return best.where("n_rows >= 2").select("listing_id", *[F.coalesce(-F.col(f"{f}.neg_id"), F.lit(-1).cast("long")).alias(f"{f}_row_id") for f in fields])
 
 
 def voted_survivors(rows: DataFrame, teams: DataFrame) -> DataFrame:

@@ -52,6 +52,16 @@ def test_strict_order_against_brute_force_with_a_hot_listing(spark, teams):
         assert got[ls] == want
 
 
+def test_strict_order_needs_no_truth_discovery(spark, teams, monkeypatch):
+    data = [(i, i % 7, "s" if i % 3 else "z", "mirror" if i % 2 else "primary", ("ABC", "XYZ", "?")[i % 3], [("C", "D", "F")[i % 3]], 15.0 + i % 5, i % 4) for i in range(60)]
+    elected, _ = S.discover(S.listing_claims(_rows(spark, data), teams), rest=0.01)
+    want = {(r["entity"], r["field"]): -r["precedence"]["neg_id"] for r in elected.collect()}
+    monkeypatch.setattr(S, "discover", None)
+    monkeypatch.setattr(S, "store", None)
+    got = S.latest_survivors(_rows(spark, data), teams).collect()
+    assert {(r["listing_id"], f): r[f"{f}_row_id"] for r in got for f in S.FIELDS} == want
+
+
 def test_vote_and_reliability(spark, teams):
     data = []
     for ls in range(1, 21):
