@@ -1,5 +1,8 @@
 """Mojibake and look-alikes: round trips over encodings, canonical classes, odd inputs."""
 
+import random
+from collections import Counter
+
 import pytest
 
 from slatework.llm import lookalike as L
@@ -76,3 +79,17 @@ def test_letters_beyond_the_first_plane_and_numbers_in_circles(spark):
     names = spark.createDataFrame([(1, "𝐁o Ek"), (2, "Ｂo Ek"), (3, "Line ⑩"), (4, "ﬁ Ek"), (5, "Bo™ Ek"), (6, "Bo Ek")], "id long, v string")
     got = {r["id"]: r["form"] for r in L.odd_spellings(names, ["id"], "v").collect()}
     assert got == {1: "Bo Ek", 2: "Bo Ek", 3: "Line 10", 4: "fi Ek"}
+
+
+def test_states_of_a_shared_beginning_are_kept():
+    language = M.Language(Counter(g for n in ("josé garcía", "jürgen müller", "anna lind") for g in M._grams(n)))
+    r = random.Random(3)
+    parts = ["José", "JosÃ©", "GarcÃ\xada", "MÃ¼ller", "Müller", "Lind", "Иван", "M?ller", "Ã", "Ã¼", "Å"]
+    names = [" ".join(r.choices(parts, k=r.randint(1, 3)))[: r.randint(1, 20)] for _ in range(400)]
+    kept = M.Decoder(language)
+    for name in names + sorted(names):
+        assert M.label_one(kept, name) == M.label_one(M.Decoder(language), name)
+    kept.decode("José MÃ¼ller", frozenset())
+    before = kept.last[2][:]
+    kept.decode("José MÃ¼lner", frozenset())
+    assert all(a is b for a, b in zip(before[:10], kept.last[2][:10], strict=True))
